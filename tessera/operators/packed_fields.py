@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import EDGE
+from tessera.session import Written, partitions
 
 #: Single delimiters a field may use. "  " stands for a run of two or more blanks.
 DELIMITERS = [",", ";", "|", "\t", "\n", "·", "、", "，", "；", "  "]
@@ -112,7 +113,9 @@ def choose_dialects(df: DataFrame, field: str) -> DataFrame:
     of all rows share costs no more than another.
     """
     fields = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("_field")).agg(F.count(F.lit(1)).alias("n"))
-    parses = _parses(fields).withColumn("_spelled", F.col("name_bits") + F.aggregate("vals", F.lit(0.0), lambda a, v: a + _spelled(v)))
+    # parsing costs far more than its bytes suggest, so distinct fields are spread over all tasks and parsed once
+    fields = fields.repartition(max(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism), F.xxhash64("_field"))
+    parses = Written(_parses(fields).withColumn("_spelled", F.col("name_bits") + F.aggregate("vals", F.lit(0.0), lambda a, v: a + _spelled(v)))).df
     first = parses.groupBy("_field").agg(F.min_by(F.struct("vals", "n"), F.struct("_spelled", "dialect")).alias("_b"))
     counts = first.select(F.explode("_b.vals").alias("_v"), F.col("_b.n").alias("n")).groupBy("_v").agg(F.sum("n").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_total"))  # one row
