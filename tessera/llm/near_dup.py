@@ -2,8 +2,10 @@
 
 Each record's word set gets HASHES minima. Bands of full minima give candidate pairs; only the low BITS bits of each
 minimum are kept, packed into longs, and a pair's similarity is estimated from the equal ones, corrected for those
-that are equal by chance. Pairs well below the threshold go; the rest are checked exactly, so no wrong pair is
-linked. A pair at a similarity of 0.75 is no candidate with a chance of 4 in 100,000, at 0.8 of 4 in 10 million.
+that are equal by chance: first from a few fields that travel with the band keys, so that chance meetings end where
+the pair is met, then from all. Pairs well below the threshold go; the rest are checked exactly, so no wrong pair is
+linked. A pair at a similarity of 0.75 is no candidate with a chance of 4 in 100,000, at 0.8 of 4 in 10 million; an
+estimate drops one with a chance of 3 in 10 million.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
-from tessera.session import Written
+from tessera.session import Written, partitions
 
 BANDS, ROWS, BITS = 96, 8, 2
 HASHES = BANDS * ROWS
+#: Fields that travel with the band keys: every HASHES // SHORT-th minimum.
+SHORT = 128
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 #: Members of a bucket from which on its pairs are found by way of a leader.
@@ -62,8 +66,16 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return k.view(np.int64)
 
 
+def least_equal(threshold: float, fields: int) -> float:
+    """The least share of equal fields that a pair at the threshold has, but for a chance in SLACK deviations."""
+    chance = 1.0 / (1 << BITS)
+    expect = chance + (1 - chance) * threshold
+    return expect - SLACK * (expect * (1 - expect) / fields) ** 0.5
+
+
 def signatures(sets: DataFrame, key: str, hashes: str) -> DataFrame:
-    """key, sig (packed low bits) and bands (keys) of each non-empty set of 64-bit word hashes."""
+    """key, sig (packed low bits), short (of every HASHES // SHORT-th minimum) and bands (keys) of each non-empty set
+    of 64-bit word hashes."""
     mul, add = _seeds(HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +87,77 @@ def signatures(sets: DataFrame, key: str, hashes: str) -> DataFrame:
                 ends = lists.offsets.to_numpy().astype(np.int64)
                 m = minima(flat, ends - ends[0], mul, add)
                 wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), wide(pack_bits(m)), wide(band_keys(m))], names=["key", "sig", "bands"])
+                short = pack_bits(m[:, :: HASHES // SHORT])
+                yield pa.RecordBatch.from_arrays([b.column(0), wide(pack_bits(m)), wide(short), wide(band_keys(m))], names=["key", "sig", "short", "bands"])
 
     src = sets.where(F.size(hashes) > 0).select(F.col(key).alias("key"), F.col(hashes).alias("h"))
-    return src.mapInArrow(run, f"key {sets.schema[key].dataType.simpleString()}, sig array<bigint>, bands array<bigint>")
+    return src.mapInArrow(run, f"key {sets.schema[key].dataType.simpleString()}, sig array<bigint>, short array<bigint>, bands array<bigint>")
+
+
+def _equal_fields(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = (x ^ y).view(np.uint64)
+    return 32 * d.shape[1] - np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1).astype(np.int64)
+
+
+def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
+    """Rows (large, bucket, a, b) of records that share a band, a < b.
+
+    Band keys are sorted into buckets and read in order. A bucket of at most LARGE members gives its pairs whose short
+    signatures may reach the threshold. A larger one gives every member with the bucket's least member (large is
+    true), so its rows are as many as its members and none is held in memory; what that leaves open is settled by
+    `similar_groups`.
+    """
+    parts = [f"s{i}" for i in range(SHORT * BITS // 64)]
+    bk = sigs.select("key", *[F.col("short")[i].alias(p) for i, p in enumerate(parts)], F.posexplode("bands").alias("band", "bk"))
+    bk = bk.select(F.xxhash64("band", "bk").alias("bucket"), "key", *parts)
+    bk = bk.repartition(partitions(sigs.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
+    least = int(np.ceil(least_equal(threshold, SHORT) * SHORT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.empty(0, np.int64) for _ in range(2 + len(parts)))
+        large: tuple[int, int] | None = None  # the bucket being read that is large, and its least member
+
+        def rows(is_large, bucket, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_large)), pa.array(bucket), pa.array(a), pa.array(b)], names=["large", "bucket", "a", "b"])
+
+        def small(bucket, key, s) -> Iterator[pa.RecordBatch]:
+            for k in range(1, LARGE):
+                at = np.flatnonzero(bucket[k:] == bucket[:-k])
+                if not len(at):
+                    return
+                at = at[_equal_fields(s[at], s[at + k]) >= least]
+                if len(at):
+                    yield rows(False, bucket[at], key[at], key[at + k])
+
+        def cut(bucket, key, *short, last=False) -> Iterator[pa.RecordBatch]:
+            """Whole buckets but, unless `last`, the one at the end, which is held."""
+            nonlocal held, large
+            if large is not None:
+                n = int(np.searchsorted(bucket, large[0], "right"))
+                if n:
+                    yield rows(True, bucket[:n], np.full(n, large[1]), key[:n])
+                bucket, key, short = bucket[n:], key[n:], tuple(s[n:] for s in short)
+                if len(bucket):
+                    large = None
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1)) if len(bucket) else np.empty(0, np.int64)
+            sizes = np.diff(np.concatenate((starts, [len(bucket)])))
+            for i in np.flatnonzero(sizes > LARGE):
+                a, n = int(starts[i]), int(sizes[i])
+                yield rows(True, bucket[a + 1 : a + n], np.full(n - 1, key[a]), key[a + 1 : a + n])
+                if i == len(sizes) - 1 and not last:
+                    large = (int(bucket[a]), int(key[a]))
+            keep = 0 if last or not len(sizes) or sizes[-1] > LARGE else int(sizes[-1])
+            whole = np.repeat(sizes <= LARGE, sizes)
+            if keep:
+                whole[len(whole) - keep :] = False
+            held = tuple(x[len(x) - keep :] for x in (bucket, key, *short))
+            yield from small(bucket[whole], key[whole], np.stack([s[whole] for s in short], axis=1))
+
+        for b in batches:
+            yield from cut(*(np.concatenate((h, b.column(j).to_numpy(zero_copy_only=False))) for j, h in enumerate(held)))
+        yield from cut(*held, last=True)
+
+    return bk.mapInArrow(run, "large boolean, bucket bigint, a bigint, b bigint")
 
 
 def _equal_share(a: str, b: str):
@@ -90,12 +169,9 @@ def _equal_share(a: str, b: str):
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets' similarity is at least the threshold: estimated first, then exactly."""
-    chance = 1.0 / (1 << BITS)
-    expect = chance + (1 - chance) * threshold
-    least = expect - SLACK * (expect * (1 - expect) / HASHES) ** 0.5
     one = sets.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"))
     two = sets.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"))
-    near = pairs.join(one, "a").join(two, "b").where(_equal_share("sa", "sb") >= least)
+    near = pairs.join(one, "a").join(two, "b").where(_equal_share("sa", "sb") >= least_equal(threshold, HASHES))
     common = F.size(F.array_intersect("wa", "wb"))
     return near.where(common >= F.lit(threshold) * (F.size("wa") + F.size("wb") - common)).select("a", "b")
 
@@ -109,27 +185,26 @@ def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> D
     empty sets are left out; repeated keys count once.
     """
     src = sets.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(words)).alias("words")).where(F.col("key").isNotNull() & (F.size("words") > 0))
-    src = Written(src.groupBy("key").agg(F.max("words").alias("words")))
-    reps = src.df.groupBy("words").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_copies"))
-    hashed = reps.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    sig = signatures(hashed, "key", "h")
-    full = Written(sig.join(reps.select("key", "words"), "key"))
-    bk = Written(full.df.select("key", F.posexplode("bands").alias("band", "bk")).select("key", F.xxhash64("band", "bk").alias("bucket")))
-    size = bk.df.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lead")).where("m > 1")
-    known = Written(bk.df.join(size, "bucket"))
-    sets_df = full.df.select("key", "sig", "words")
-    left = known.df.where(F.col("m") <= LARGE).select("bucket", F.col("key").alias("a"))
-    right = known.df.where(F.col("m") <= LARGE).select("bucket", F.col("key").alias("b"))
-    pairs = left.join(right, "bucket").where("a < b").select("a", "b")
-    # a large bucket: all against its least member; those linked to it are connected already, and only those that
-    # aren't need be held against every member
-    large = known.df.where((F.col("m") > LARGE) & (F.col("key") != F.col("lead")))
-    star = large.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    star_links = Written(verify(star, sets_df, threshold))
-    loose = large.join(star_links.df.select(F.col("a").alias("lead"), F.col("b").alias("key")), ["lead", "key"], "left_anti").select("bucket", F.col("key").alias("x"))
-    members = known.df.where(F.col("m") > LARGE).select("bucket", F.col("key").alias("y"))
-    rest = loose.join(members, "bucket").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = Written(verify(pairs.unionByName(rest).distinct(), sets_df, threshold))
-    comp = components(links.df.unionByName(star_links.df), "a", "b")
-    grouped = reps.select("key", "words", "n_copies").join(comp.withColumnRenamed("node", "key"), "key", "left").select("words", "n_copies", F.coalesce("component", "key").alias("group"))
-    return src.df.join(grouped, "words").select(F.col("key").alias(key), "group", "n_copies")
+    src = src.groupBy("key").agg(F.max("words").alias("words")).withColumn("same", F.unhex(F.md5(F.array_join("words", "\x1f"))))
+    src = Written(src)
+    reps = src.df.groupBy("same").agg(F.min("key").alias("name"), F.count(F.lit(1)).alias("n_copies"), F.any_value("words").alias("words"))
+    # numbers stand for the sets from here on; they are written once, so they stay the same
+    reps = Written(reps.withColumn("key", F.monotonically_increasing_id()))
+    sig = signatures(reps.df.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "key", "h")
+    sig = Written(sig)
+    met = Written(met_pairs(sig.df, threshold))
+    sets_df = sig.df.select("key", "sig").join(reps.df.select("key", "words"), "key")
+    links = Written(verify(met.df.select("a", "b").distinct(), sets_df, threshold))
+    edges = links.df
+    large = met.df.where("large")
+    if large.limit(1).count():
+        # members that are linked to their large bucket's least one are connected; only those that aren't need be
+        # held against every member
+        loose = large.join(links.df, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("x"))
+        members = large.select("bucket", F.col("b").alias("y"))
+        rest = loose.join(members, "bucket").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = edges.unionByName(verify(rest.distinct(), sets_df, threshold))
+    comp = components(edges, "a", "b")
+    told = reps.df.select("key", "same", "name", "n_copies").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+    least = told.groupBy("c").agg(F.min("name").alias("group"))
+    return src.df.select("key", "same").join(told.join(least, "c").select("same", "group", "n_copies"), "same").select(F.col("key").alias(key), "group", "n_copies")
