@@ -214,6 +214,9 @@ DIAGNOSTICS = [
     Diagnostic("sorting", "analyze_comparison_count", "CASE WHEN count(*) <= 1 THEN 0.0 ELSE sum(i) / (2 * count(*) * log2(count(*))) END", "m > 1", (0.0, False)),
     Diagnostic("sorting", "analyze_swap_count", "CASE WHEN count(*) <= 1 THEN 0.0 ELSE sum(j) / (2 * count(*) * log2(count(*))) END", "m > 1", (0.0, False)),
     Diagnostic("sorting", "validate_stability", _count("i = ni AND pos > np"), "m = 0", (0.0, True), [window(ni="lead(i) OVER (PARTITION BY g ORDER BY i, x, pos)", np="lead(pos) OVER (PARTITION BY g ORDER BY i, x, pos)")]),
+    Diagnostic("sequential_filter", "detect_filter_divergence", _share("z * z / (y * 50 + 1) > pow(1 - 2.0 / 9 + 1.645 * sqrt(2.0 / 9), 3)"), "m > 0", (0.0, False)),
+    Diagnostic("sequential_filter", "adapt_process_noise", "sum(0.1 * pow(CAST(0.9 AS DOUBLE), t - 1 - pos) * z * z / 4) + pow(CAST(0.9 AS DOUBLE), max(t))", _NONE, (1.0, None), [window(t="count(*) OVER wg")]),
+    Diagnostic("string_matching", "validate_failure_function", _count("i > pos OR i > p + 1"), "m = 0", (0.0, True), [window(p="coalesce(lag(i) OVER w, -1)")]),
     Diagnostic("string_matching", "measure_hash_collision_rate", _share("i = 1 AND j <> 1"), "m > 0.5", (0.0, False)),
     Diagnostic("vi_advi", "monitor_elbo_convergence", "abs(avg(CASE WHEN r <= 10 THEN x END) - avg(CASE WHEN r > 10 AND r <= 20 THEN x END)) / nullif(abs(avg(CASE WHEN r > 10 AND r <= 20 THEN x END)), 0)", "m < 1e-4", (1.0, False), [window(r="row_number() OVER wd")]),
     Diagnostic("vi_advi", "analyze_gradient_variance", "avg(cv)", "m < 1", (0.0, True), [group("i", cv="stddev_pop(x) / nullif(abs(avg(x)), 0)")]),

@@ -193,3 +193,92 @@ def matrix_checks(df: DataFrame, key: str, row: str, col: str, value: str) -> Da
         })
 
     return _per_series(df, key, row, f, "condition double, least_eigenvalue double, rank int, asymmetry double")
+
+
+def chain_diagnostics(df: DataFrame, key: str, chain: str, pos: str, value: str) -> DataFrame:
+    """Split R-hat on rank-normalised values and bulk effective sample size of each key's chains (cut to the
+    shortest): key, rhat, ess."""
+
+    def normal(p: np.ndarray) -> np.ndarray:
+        """Quantiles of the normal distribution, by Newton steps on its distribution function."""
+        from math import erf, sqrt
+
+        z = np.sign(p - 0.5) * np.sqrt(np.maximum(-2 * np.log(np.minimum(p, 1 - p)), 0))
+        z *= 0.8
+        cdf = np.vectorize(lambda x: 0.5 * (1 + erf(x / sqrt(2))))
+        for _ in range(30):
+            z = z - np.clip((cdf(z) - p) / np.maximum(np.exp(-z * z / 2) / np.sqrt(2 * np.pi), 1e-12), -1, 1)
+        return z
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = [g.sort_values(pos)[value].to_numpy(float) for _, g in pdf.groupby(chain)]
+        half = min(map(len, groups)) // 2
+        if half < 2:
+            return pd.DataFrame({"rhat": [1.0], "ess": [float(len(pdf))]})
+        x = np.array([part for g in groups for part in (g[:half], g[half : 2 * half])])
+        rank = pd.Series(x.ravel()).rank().to_numpy().reshape(x.shape)
+        z = normal((rank - 0.375) / (x.size + 0.25))
+        m, n = z.shape
+        within, between = z.var(axis=1, ddof=1).mean(), n * z.mean(axis=1).var(ddof=1)
+        total = (n - 1) / n * within + between / n
+        rhat = np.sqrt(total / within) if within > 0 else 1.0
+        c = z - z.mean(axis=1, keepdims=True)
+        acov = np.array([(c[:, : n - t] * c[:, t:]).sum(axis=1).mean() / n for t in range(n)])
+        rho = 1 - (within - acov * n / max(n - 1, 1)) / total if total > 0 else np.zeros(n)
+        tau, last = -1.0, np.inf
+        for t in range(0, n - 1, 2):
+            pair = rho[t] + rho[t + 1]
+            if pair < 0:
+                break
+            last = min(last, pair)
+            tau += 2 * last
+        return pd.DataFrame({"rhat": [float(rhat)], "ess": [float(m * n / max(tau, 1 / np.log10(max(m * n, 10))))]})
+
+    return _per_series(df, key, pos, f, "rhat double, ess double")
+
+
+def fit_segments(df: DataFrame, key: str, pos: str, value: str, rising: bool = True, floor: float = 0.0, min_width: int = 3) -> DataFrame:
+    """Rising (or falling) runs of at least `min_width` samples with the rate of the exponential that fits them best,
+    v = A (exp(a i) - 1) + v0 by a search over a: key, first, last, rate, strength = log(1 + |A a|)."""
+    rates = np.geomspace(1e-3, 2, 60)
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, at = pdf[value].to_numpy(float), pdf[pos].to_numpy()
+        d = np.diff(x)
+        on = np.concatenate(([False], d > floor if rising else d < -floor, [False]))
+        edges = np.flatnonzero(np.diff(on.astype(int)))
+        out = []
+        for a, b in edges.reshape(-1, 2):
+            seg = x[a : b + 1]
+            if len(seg) < min_width:
+                continue
+            i = np.arange(len(seg))
+            best = (np.inf, 0.0, 0.0)
+            for r in rates:
+                e = np.expm1(r * i) if rising else -np.expm1(-r * i)
+                amp = (e @ (seg - seg[0])) / (e @ e)
+                best = min(best, (float(((seg - seg[0] - amp * e) ** 2).sum()), r, amp))
+            out.append((at[a], at[b], best[1], float(np.log1p(abs(best[1] * best[2])))))
+        return pd.DataFrame(out, columns=["first", "last", "rate", "strength"])
+
+    return _per_series(df, key, pos, f, "first bigint, last bigint, rate double, strength double")
+
+
+def combine_coherence(df: DataFrame, key: str, pos: str, parts: list[str], window: int = 16) -> DataFrame:
+    """The mean of columns, each weighted by how it runs with the others in a moving window: key, pos, combined."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf[parts].to_numpy(float)
+        w = np.ones(window) / window
+        low = lambda v: np.convolve(v, w, "same")[: len(v)] if len(v) >= window else np.full(len(v), v.mean())
+        weight = np.zeros_like(m)
+        for i in range(m.shape[1]):
+            for j in range(i):
+                num = low(m[:, i] * m[:, j]) ** 2
+                coh = num / np.maximum(low(m[:, i] ** 2) * low(m[:, j] ** 2), 1e-30)
+                weight[:, i] += coh
+                weight[:, j] += coh
+        total = np.maximum(weight.sum(axis=1), 1e-30)
+        return pd.DataFrame({"pos": pdf[pos].to_numpy(), "combined": (m * weight).sum(axis=1) / total})
+
+    return _per_series(df, key, pos, f, "pos bigint, combined double")

@@ -479,7 +479,7 @@ def merge_by_first_time(spark, d):
     return series.merge_by_first_time([s.where(F.col("event_type") == k) for k in ("click", "error", "purchase", "signup", "view")], "user_id", "t").select("event_id", "seq")
 
 
-_G = "x AS (SELECT user_id, CAST(pos AS DOUBLE) * 2 AS t, v FROM s), g AS (SELECT user_id, unnest(range(CAST(floor(max(t) / 0.75) AS BIGINT) + 1)) * 0.75 AS t FROM x GROUP BY 1), b AS (SELECT g.user_id, g.t, floor(g.t / 2) * 2 AS t0, ceil(g.t / 2) * 2 AS t1 FROM g), z AS (SELECT b.*, p.v AS v0, n.v AS v1 FROM b JOIN x p ON p.user_id = b.user_id AND p.t = t0 JOIN x n ON n.user_id = b.user_id AND n.t = t1)"
+_G = "x AS (SELECT user_id, CAST(pos AS DOUBLE) * 2 AS t, v FROM s), g AS (SELECT user_id, unnest(range(CAST(floor(max(t) / 0.75) AS BIGINT) + 1)) * CAST(0.75 AS DOUBLE) AS t FROM x GROUP BY 1), b AS (SELECT g.user_id, g.t, floor(g.t / 2) * 2 AS t0, ceil(g.t / 2) * 2 AS t1 FROM g), z AS (SELECT b.*, p.v AS v0, n.v AS v1 FROM b JOIN x p ON p.user_id = b.user_id AND p.t = t0 JOIN x n ON n.user_id = b.user_id AND n.t = t1)"
 
 
 @query(f"WITH {_S}, {_G} SELECT user_id, t, round(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v FROM z")
