@@ -120,7 +120,8 @@ def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k:
                 order = np.lexsort((np.broadcast_to(bk, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
                 s = np.take_along_axis(sims, order, axis=1)
                 fine = np.isfinite(s).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, order.shape[1])[fine]), pa.array(bk[order].ravel()[fine]), pa.array(s.ravel()[fine])], names=["query", "key", "similarity"])
+                kind = batch.column(0).type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, order.shape[1])[fine], kind), pa.array(bk[order].ravel()[fine], kind), pa.array(s.ravel()[fine])], names=["query", "key", "similarity"])
 
     pairs = q.join(b).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "key")

@@ -83,10 +83,10 @@ def histogram_closed(spark, d):
     return catalog.histogram(table(spark, d, "events"), "event_type", "value", 10)
 
 
-@query("SELECT benchmark_name, " + ", ".join(f"round(avg(metric_value) FILTER (dataset_tag = '{t}'), 4) AS {t}" for t in ("clean", "high_noise", "long_window")) + " FROM benchmarks WHERE isfinite(metric_value) GROUP BY 1")
+@query("SELECT benchmark_name, " + ", ".join(f"round(avg(metric_value) FILTER (dataset_tag = '{t}'), 9) AS {t}" for t in ("clean", "high_noise", "long_window")) + " FROM benchmarks WHERE isfinite(metric_value) GROUP BY 1")
 def variant_pivot(spark, d):
     b = table(spark, d, "benchmarks").where("NOT isnan(metric_value) AND abs(metric_value) < double('infinity')")
-    p = b.groupBy("benchmark_name").pivot("dataset_tag", ["clean", "high_noise", "long_window"]).agg(R(F.avg("metric_value"), 4))
+    p = b.groupBy("benchmark_name").pivot("dataset_tag", ["clean", "high_noise", "long_window"]).agg(R(F.avg("metric_value"), 9))
     return p
 
 

@@ -602,11 +602,11 @@ def dispatch_latency(spark, d):
     return x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ne") == "error", 1)).alias("failed"), R(F.avg(F.col("nt") - F.col("t")), 4).alias("mean_s"), R(F.max(F.col("nt") - F.col("t")), 4).alias("max_s"))
 
 
-@query("SELECT benchmark_name, metric_name, count(*) AS n, count(*) FILTER (isnan(metric_value)) AS n_nan, count(*) FILTER (isinf(metric_value)) AS n_inf, round(avg(metric_value) FILTER (isfinite(metric_value)), 4) AS mean, round(min(metric_value) FILTER (isfinite(metric_value)), 6) AS low, round(max(metric_value) FILTER (isfinite(metric_value)), 6) AS high FROM benchmarks GROUP BY ALL")
+@query("SELECT benchmark_name, metric_name, count(*) AS n, count(*) FILTER (isnan(metric_value)) AS n_nan, count(*) FILTER (isinf(metric_value)) AS n_inf, round(avg(metric_value) FILTER (isfinite(metric_value)), 9) AS mean, round(min(metric_value) FILTER (isfinite(metric_value)), 6) AS low, round(max(metric_value) FILTER (isfinite(metric_value)), 6) AS high FROM benchmarks GROUP BY ALL")
 def benchmark_summary(spark, d):
     v = F.col("metric_value")
     fine = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    return table(spark, d, "benchmarks").groupBy("benchmark_name", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.isnan(v), 1)).alias("n_nan"), F.count(F.when(~F.isnan(v) & (F.abs(v) == float("inf")), 1)).alias("n_inf"), R(F.avg(fine), 4).alias("mean"), R(F.min(fine)).alias("low"), R(F.max(fine)).alias("high"))
+    return table(spark, d, "benchmarks").groupBy("benchmark_name", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.isnan(v), 1)).alias("n_nan"), F.count(F.when(~F.isnan(v) & (F.abs(v) == float("inf")), 1)).alias("n_inf"), R(F.avg(fine), 9).alias("mean"), R(F.min(fine)).alias("low"), R(F.max(fine)).alias("high"))
 
 
 # --- numeric diagnostics

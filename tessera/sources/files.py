@@ -133,7 +133,7 @@ def read_edf(spark: SparkSession, path: str, start: float = 0.0, duration: float
 def read_clocked_tsv(spark: SparkSession, path: str, skip: int, clock: str, zone: str) -> DataFrame:
     """A UTF-16 tab-separated export with `skip` lines before its header: columns as text, and at (UTC) from the
     column `clock`, whose '00:' in 12-hour times means 12. Times that don't read are left out."""
-    raw = spark.read.option("encoding", "UTF-16").option("multiLine", "true").option("wholetext", "true").text(path)
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-16").alias("value"))
     lines = raw.select(F.posexplode(F.split("value", r"\r?\n")).alias("_i", "_l")).where(F.length(F.trim("_l")) > 0)
     header = lines.where(F.col("_i") == skip).first()["_l"].split("\t")
     p = F.split("_l", "\t")
