@@ -11,6 +11,7 @@ page, and lines that several such pages share are page templates wherever else t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import Written
+
 # --- fixed values: shapes of slots
 
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+)*"
@@ -64,7 +67,7 @@ _SHOWN = [
     regex.compile(r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)"),
 ]
 _TAG = regex.compile(r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|center|noscript|main|section|br|hr)\b[^>]*>")
-_UNIT = regex.compile(r"\n+|(?<=[.!?][\"'”)]?)\s+|(?<=[。！？])\s*")
+_UNIT = regex.compile(r"\n+|(?<=[.!?])\s+|(?<=[.!?][\"'”)])\s+|(?<=[。！？])\s*")
 _TRIM = " \t\r\n .:;,-–—!…*#>|·。！"
 
 # --- fixed values: kinds of pages without content
@@ -163,6 +166,7 @@ LOREM = frozenset(
     "proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 #: A unit is filler from this many of its words, and this share, being filler words.
 LOREM_WORDS, LOREM_SHARE = 4, 0.8
 
@@ -170,17 +174,35 @@ LOREM_WORDS, LOREM_SHARE = 4, 0.8
 PROOF = 2
 
 
-def visible(text: str) -> str:
+#: What a text must hold for the patterns of _SHOWN to find anything, in their order.
+_OPENERS = [("```", "~~~"), ("<pre", "<code", "<PRE", "<CODE"), ("`",), ('"',), ('"',), ('"',), ("“", "„", "«", "「", "『", "‘"), ("$$", "\\[", "\\(")]
+#: A unit without any of these holds no slot.
+_SLOT_MARKS = regex.compile(r"[{}<>\[$%@#&]|__|XXXX|\((?i:your) ")
+#: Units of plain letters that are of a known kind hold one of these words, or one of LOREM, _MASH or _ERROR_KEYS.
+_CUES = frozenset(
+    "error http status code found denied expired wrong failed oops timed unavailable forbidden unauthorized unauthorised gateway gone request requests exception available permission answer "
+    "invalid unexpected broken human maintenance load unknown sign moved removed exist timeout implemented allowed required javascript scripts script scripting skripten browser coming "
+    "sample goes type tap click enter insert add write blank placeholder blindtext platzhaltertext steht relleno escriba escreva insira texto texte ins tbd be bc tbc ntbc nbc n na "
+    "replace put paste ersetzen remplacez reemplace substitua fehler erreur erro errore gefunden produjo ocorreu survenue existe existiert seconnecter".split()
+)
+
+
+def visible(text: str, first: int = 0) -> str:
     """The text without what it shows as code, quotes or formulas; each such part leaves a mark."""
-    for p in _SHOWN:
-        text = p.sub(" ◦ ", text)
-    return _TAG.sub("\n", text)
+    for p, marks in list(zip(_SHOWN, _OPENERS))[first:]:
+        if any(m in text for m in marks):
+            text = p.sub(" ◦ ", text)
+    return _TAG.sub("\n", text) if "<" in text else text
 
 
 def _page_kind(unit: str) -> str | None:
     u = unit.strip(_TRIM)
     if not u:
         return None
+    if u.isascii():
+        told = set(_PLAIN_WORD.findall(u.lower()))
+        if told.isdisjoint(_CUES) and told.isdisjoint(_ERROR_KEYS) and told.isdisjoint(_MASH) and told.isdisjoint(LOREM):
+            return None
     if _ERROR.match(u):
         return "error"
     if _SCRIPTS.match(u):
@@ -209,11 +231,12 @@ def findings(text: str) -> list[tuple[str, str, str, bool]]:
     """(kind, template, fillers, sure) of each suspect unit of a text."""
     out: list[tuple[str, str, str, bool]] = []
     plain = text
-    for p in _SHOWN[:5]:  # a JSON error has quotes of its own, so only quotes around it take it out
-        plain = p.sub(" ◦ ", plain)
-    if _ERROR_JSON.search(plain):
+    for p, marks in zip(_SHOWN[:5], _OPENERS):  # a JSON error has quotes of its own, so only quotes around it take it out
+        if any(m in plain for m in marks):
+            plain = p.sub(" ◦ ", plain)
+    if '{' in plain and _ERROR_JSON.search(plain):
         out.append(("error", "{json}", "", True))
-    text = visible(text)
+    text = visible(plain, 5)
     rest = [u for u in text.split("\n") if u.strip() and not _CHROME_LINE.match(u.strip())]
     chrome = (_CHROME_TAG.search(plain) or sum(1 for u in text.split("\n") if u.strip()) > len(rest)) and sum(map(len, rest)) <= PAGE_CHARS
     if chrome:
@@ -223,7 +246,7 @@ def findings(text: str) -> list[tuple[str, str, str, bool]]:
     for unit in _UNIT.split(text):
         if not unit or unit.isspace():
             continue
-        slots = _SLOT.findall(unit)
+        slots = _SLOT.findall(unit) if _SLOT_MARKS.search(unit) or "____" in unit else []
         if slots:
             template = regex.sub(r"[\d.,]+", "0", _SLOT.sub("◇", unit)).strip(_TRIM).lower()
             out.append(("template", template, "\x1f".join(slots), _SURE.search(unit) is not None or len(slots) >= PROOF))
@@ -271,7 +294,8 @@ def flag_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and blank texts are no case, nor are texts that only quote or show such things. Repeated keys are
     one row. Only suspect units are shuffled, not texts. Other columns are not read.
     """
-    units = suspects(df, key, text)
+    # written once: what is suspect is little, and finding it is the work
+    units = Written(suspects(df, key, text)).df
     sure = units.where("sure").select("key", "kind")
     doubtful = units.where(~F.col("sure")).select("key", "kind", "template")
     # a slot is proven where units of one template fill it differently, a page's line where several pages have it
