@@ -28,6 +28,8 @@ SHORT = 128
 SLACK = 5.0
 #: Members of a bucket from which on its pairs are found by way of a leader.
 LARGE = 64
+#: Members of a large bucket that are compared at once, and parts its blocks are spread over.
+BLOCK, SALT = 1024, 8
 
 _M = np.uint64(0xFFFFFFFF)
 
@@ -100,12 +102,12 @@ def _equal_fields(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Rows (large, bucket, a, b) of records that share a band, a < b.
+    """Rows (large, near, bucket, a, b) of records that share a band, a < b.
 
     Band keys are sorted into buckets and read in order. A bucket of at most LARGE members gives its pairs whose short
-    signatures may reach the threshold. A larger one gives every member with the bucket's least member (large is
-    true), so its rows are as many as its members and none is held in memory; what that leaves open is settled by
-    `similar_groups`.
+    signatures may reach the threshold (near). A larger one gives every member with the bucket's least member (large
+    is true, near as it is), so its rows are as many as its members and none is held in memory; what that leaves open
+    is settled by `_rest_of_large`.
     """
     parts = [f"s{i}" for i in range(SHORT * BITS // 64)]
     bk = sigs.select("key", *[F.col("short")[i].alias(p) for i, p in enumerate(parts)], F.posexplode("bands").alias("band", "bk"))
@@ -115,10 +117,14 @@ def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tuple(np.empty(0, np.int64) for _ in range(2 + len(parts)))
-        large: tuple[int, int] | None = None  # the bucket being read that is large, and its least member
+        large: tuple | None = None  # the bucket being read that is large, its least member and that one's short signature
 
-        def rows(is_large, bucket, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_large)), pa.array(bucket), pa.array(a), pa.array(b)], names=["large", "bucket", "a", "b"])
+        def rows(is_large, near, bucket, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_large)), pa.array(near), pa.array(bucket), pa.array(a), pa.array(b)], names=["large", "near", "bucket", "a", "b"])
+
+        def star(bucket, key, s) -> pa.RecordBatch:
+            near = _equal_fields(s, np.broadcast_to(large[2], s.shape)) >= least
+            return rows(True, near, bucket, np.full(len(key), large[1]), key)
 
         def small(bucket, key, s) -> Iterator[pa.RecordBatch]:
             for k in range(1, LARGE):
@@ -127,7 +133,7 @@ def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
                     return
                 at = at[_equal_fields(s[at], s[at + k]) >= least]
                 if len(at):
-                    yield rows(False, bucket[at], key[at], key[at + k])
+                    yield rows(False, np.ones(len(at), bool), bucket[at], key[at], key[at + k])
 
         def cut(bucket, key, *short, last=False) -> Iterator[pa.RecordBatch]:
             """Whole buckets but, unless `last`, the one at the end, which is held."""
@@ -135,7 +141,7 @@ def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
             if large is not None:
                 n = int(np.searchsorted(bucket, large[0], "right"))
                 if n:
-                    yield rows(True, bucket[:n], np.full(n, large[1]), key[:n])
+                    yield star(bucket[:n], key[:n], np.stack([s[:n] for s in short], axis=1))
                 bucket, key, short = bucket[n:], key[n:], tuple(s[n:] for s in short)
                 if len(bucket):
                     large = None
@@ -143,9 +149,10 @@ def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
             sizes = np.diff(np.concatenate((starts, [len(bucket)])))
             for i in np.flatnonzero(sizes > LARGE):
                 a, n = int(starts[i]), int(sizes[i])
-                yield rows(True, bucket[a + 1 : a + n], np.full(n - 1, key[a]), key[a + 1 : a + n])
-                if i == len(sizes) - 1 and not last:
-                    large = (int(bucket[a]), int(key[a]))
+                large = (int(bucket[a]), int(key[a]), np.array([s[a] for s in short]))
+                yield star(bucket[a + 1 : a + n], key[a + 1 : a + n], np.stack([s[a + 1 : a + n] for s in short], axis=1))
+                if i < len(sizes) - 1 or last:
+                    large = None
             keep = 0 if last or not len(sizes) or sizes[-1] > LARGE else int(sizes[-1])
             whole = np.repeat(sizes <= LARGE, sizes)
             if keep:
@@ -157,7 +164,7 @@ def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
             yield from cut(*(np.concatenate((h, b.column(j).to_numpy(zero_copy_only=False))) for j, h in enumerate(held)))
         yield from cut(*held, last=True)
 
-    return bk.mapInArrow(run, "large boolean, bucket bigint, a bigint, b bigint")
+    return bk.mapInArrow(run, "large boolean, near boolean, bucket bigint, a bigint, b bigint")
 
 
 def _equal_share(a: str, b: str):
@@ -176,6 +183,66 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return near.where(common >= F.lit(threshold) * (F.size("wa") + F.size("wb") - common)).select("a", "b")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (bucket, key, short, sig) packed by bucket into blocks of at most BLOCK: bucket, block, keys, sigs."""
+    rows = members.repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = 0
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            key = b.column(1).to_numpy()
+            sig = np.concatenate([b.column(j).flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1) for j in (2, 3)], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+            out: list[tuple] = []
+            for a, z in zip(cuts, cuts[1:]):
+                for at in range(a, z, BLOCK):
+                    end = min(z, at + BLOCK)
+                    out.append((int(bucket[at]), block, key[at:end].tobytes(), sig[at:end].tobytes()))
+                    block += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "sigs"])
+
+    return rows.mapInArrow(run, "bucket bigint, block bigint, keys binary, sigs binary")
+
+
+def _rest_of_large(large: DataFrame, links: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of large buckets that may reach the threshold, but for those of members both linked to the
+    bucket's least one, which are connected already.
+
+    The members that aren't linked to it are held against all of the bucket, block by block: a task gets two blocks
+    and gives the few pairs whose signatures are near enough. The blocks of a bucket are spread by salt.
+    """
+    sig = sigs.select("key", "short", "sig")
+    members = large.select("bucket", F.col("b").alias("key"), "a")
+    linked = links.select("a", F.col("b").alias("key"))
+    loose = members.join(linked, ["a", "key"], "left_anti").select("bucket", "key")
+    y = _blocks(members.select("bucket", "key").join(sig, "key").select("bucket", "key", "short", "sig"))
+    x = _blocks(loose.join(sig, "key").select("bucket", "key", "short", "sig"))
+    x = x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    y = y.select("bucket", (F.col("block") % SALT).alias("salt"), F.col("keys").alias("keys2"), F.col("sigs").alias("sigs2"))
+    n_short, n_long = SHORT * BITS // 64, HASHES * BITS // 64
+    least, least_all = int(np.ceil(least_equal(threshold, SHORT) * SHORT)), int(np.ceil(least_equal(threshold, HASHES) * HASHES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                xk, yk = (np.frombuffer(b.column(j)[i].as_py(), np.int64) for j in (0, 2))
+                xs, ys = (np.frombuffer(b.column(j)[i].as_py(), np.int64).reshape(-1, n_short + n_long) for j in (1, 3))
+                for at in range(0, len(xk), 64):
+                    k = min(64, len(xk) - at)
+                    left = np.repeat(xs[at : at + k, :n_short], len(yk), axis=0)
+                    hit = np.flatnonzero(_equal_fields(left, np.tile(ys[:, :n_short], (k, 1))) >= least)
+                    p, q = at + hit // len(yk), hit % len(yk)
+                    p, q = p[xk[p] != yk[q]], q[xk[p] != yk[q]]
+                    if len(p):
+                        ok = _equal_fields(xs[p, n_short:], ys[q, n_short:]) >= least_all
+                        u, v = xk[p[ok]], yk[q[ok]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return x.join(y, ["bucket", "salt"]).select("keys", "sigs", "keys2", "sigs2").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """(key, group, n_copies) of each record with a non-empty set: group is the least key of its group.
 
@@ -194,16 +261,11 @@ def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> D
     sig = Written(sig)
     met = Written(met_pairs(sig.df, threshold))
     sets_df = sig.df.select("key", "sig").join(reps.df.select("key", "words"), "key")
-    links = Written(verify(met.df.select("a", "b").distinct(), sets_df, threshold))
+    links = Written(verify(met.df.where("near").select("a", "b").distinct(), sets_df, threshold))
     edges = links.df
     large = met.df.where("large")
     if large.limit(1).count():
-        # members that are linked to their large bucket's least one are connected; only those that aren't need be
-        # held against every member
-        loose = large.join(links.df, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("x"))
-        members = large.select("bucket", F.col("b").alias("y"))
-        rest = loose.join(members, "bucket").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = edges.unionByName(verify(rest.distinct(), sets_df, threshold))
+        edges = Written(edges.unionByName(verify(_rest_of_large(large, links.df, sig.df, threshold), sets_df, threshold))).df
     comp = components(edges, "a", "b")
     told = reps.df.select("key", "same", "name", "n_copies").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = told.groupBy("c").agg(F.min("name").alias("group"))
