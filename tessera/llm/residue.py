@@ -170,7 +170,8 @@ _PLAIN_WORD = re.compile(r"[a-z0-9]+")
 #: A unit is filler from this many of its words, and this share, being filler words.
 LOREM_WORDS, LOREM_SHARE = 4, 0.8
 
-#: A shape that prose may use is a slot where its template has this many slots, or this many documents fill it differently.
+#: A shape that prose may use is a slot where its template has this many slots, or this many units fill it differently.
+#: Two documents with the same template and marker prove it too: an unfilled template keeps its variable's name.
 PROOF = 2
 
 
@@ -278,14 +279,19 @@ def suspects(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, kind string, template string, fillers string, sure boolean")
 
 
-def templates(units: DataFrame) -> DataFrame:
-    """The aligned templates: template, kind, n_units, n_fillings (how many different ways their slots are filled).
+def _aligned(units: DataFrame) -> DataFrame:
+    """The columns of `templates`, and several: more than one document has the template.
 
     The grouping is combined before the shuffle: fillings are first made distinct, so a template that a third of all
     documents share is no hot group.
     """
-    per = units.groupBy("template", "kind", "fillers").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("template", "kind").agg(F.sum("n").alias("n_units"), F.count(F.lit(1)).alias("n_fillings"))
+    per = units.groupBy("template", "kind", "fillers").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+    return per.groupBy("template", "kind").agg(F.sum("n").alias("n_units"), F.count(F.lit(1)).alias("n_fillings"), (F.min("a") < F.max("b")).alias("several"))
+
+
+def templates(units: DataFrame) -> DataFrame:
+    """The aligned templates: template, kind, n_units, n_fillings (how many different ways their slots are filled)."""
+    return _aligned(units).drop("several")
 
 
 def flag_residue(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,9 +304,10 @@ def flag_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     units = Written(suspects(df, key, text)).df
     sure = units.where("sure").select("key", "kind")
     doubtful = units.where(~F.col("sure")).select("key", "kind", "template")
-    # a slot is proven where units of one template fill it differently, a page's line where several pages have it
-    aligned = templates(units.where("kind in ('template', 'page')"))
-    proven = aligned.where(F.col("n_fillings") >= PROOF).where("kind = 'template'").select("template", F.lit("template").alias("kind"))
+    # a slot is proven where units of one template fill it differently or several documents repeat it with the same
+    # marker, a page's line where several pages have it
+    aligned = _aligned(units.where("kind in ('template', 'page')"))
+    proven = aligned.where((F.col("n_fillings") >= PROOF) | F.col("several")).where("kind = 'template'").select("template", F.lit("template").alias("kind"))
     lines = aligned.where("kind = 'page'").where(F.col("n_units") >= PROOF).select("template", F.lit("line").alias("kind"))
     late = doubtful.join(proven.unionByName(lines), ["template", "kind"], "left_semi").select("key", F.when(F.col("kind") == "line", "page").otherwise(F.col("kind")).alias("kind"))
     return sure.unionByName(late).groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

@@ -164,3 +164,10 @@ def test_flag_residue(spark):
     t = {r.template: (r.n_units, r.n_fillings) for r in templates(suspects(df, "doc_id", "text")).collect()}
     assert t["runs by ◇ only0"] == (2, 2)
     assert flag_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_identical_repeats_prove_a_slot(spark):
+    rows = [(i, "Runs by {owner} only.") for i in range(5)] + [(10, "The seed {alpha} is set. The seed {alpha} is set."), (10, "The seed {alpha} is set."), (11, "A plain text.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # several documents are a proof; one document, though it repeats, is none
+    assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == set(range(5))
