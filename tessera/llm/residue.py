@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 import regex
@@ -179,15 +180,51 @@ PROOF = 2
 _OPENERS = [("```", "~~~"), ("<pre", "<code", "<PRE", "<CODE"), ("`",), ('"',), ('"',), ('"',), ("“", "„", "«", "「", "『", "‘"), ("$$", "\\[", "\\(")]
 #: A unit without any of these holds no slot.
 _SLOT_MARKS = regex.compile(r"[{}<>\[$%@#&]|__|XXXX|\((?i:your) ")
-#: Units of plain letters that are of a known kind hold one of these words, or one of LOREM, _MASH or _ERROR_KEYS.
-_CUES = frozenset(
-    "error http status code found denied expired wrong failed oops timed unavailable forbidden unauthorized unauthorised gateway gone request requests exception available permission answer "
-    "invalid unexpected broken human maintenance load unknown sign moved removed exist timeout implemented allowed required javascript scripts script scripting skripten browser coming "
-    "sample goes type tap click enter insert add write blank placeholder blindtext platzhaltertext steht relleno escriba escreva insira texto texte ins tbd be bc tbc ntbc nbc n na "
-    "replace put paste ersetzen remplacez reemplace substitua fehler erreur erro errore gefunden produjo ocorreu survenue existe existiert seconnecter".split()
-)
 
 
+def _required(p) -> set[str] | None:
+    """Lower-case parts of which each ASCII match of a parsed pattern holds one; empty if none is ASCII, None if unknown."""
+    found: list[set[str]] = []
+    run = ""
+    for op, arg in [*p, (None, None)]:
+        if op is _parser.LITERAL and arg < 128:
+            run += chr(arg).lower()
+            continue
+        if run:
+            found.append({run})
+            run = ""
+        own: set[str] | None = None
+        if op is _parser.LITERAL:
+            own = set()
+        elif op is _parser.SUBPATTERN:
+            own = _required(arg[-1])
+        elif op is _parser.BRANCH:
+            each = [_required(x) for x in arg[1]]
+            own = None if None in each else set().union(*each)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0]:
+            own = _required(arg[2])
+        if own is not None:
+            found.append(own)
+    if set() in found:
+        return set()
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _any_of(parts: set[str]) -> str:
+    """A pattern for any of the parts, with common beginnings written once."""
+    by: dict[str, set[str]] = {}
+    for x in parts:
+        if not x:
+            return ""  # what goes on from here is found with it
+        by.setdefault(x[0], set()).add(x[1:])
+    each = [re.escape(c) + _any_of(rest) for c, rest in sorted(by.items())]
+    return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+
+
+#: Lower-case units of ASCII that match a pattern of a kind hold this. It is made from the patterns, so it is never narrower.
+_KINDS = (_ERROR, _SCRIPTS, _FILLER, _INSTEAD)
+_CUE = re.compile(_any_of(set().union(*(_required(_parser.parse(p.pattern)) for p in _KINDS))))
+
 def visible(text: str, first: int = 0) -> str:
     """The text without what it shows as code, quotes or formulas; each such part leaves a mark."""
     for p, marks in list(zip(_SHOWN, _OPENERS))[first:]:
@@ -201,9 +238,11 @@ def _page_kind(unit: str) -> str | None:
     if not u:
         return None
     if u.isascii():
-        told = set(_PLAIN_WORD.findall(u.lower()))
-        if told.isdisjoint(_CUES) and told.isdisjoint(_ERROR_KEYS) and told.isdisjoint(_MASH) and told.isdisjoint(LOREM):
-            return None
+        low = u.lower()
+        if not _CUE.search(low):
+            told = set(_PLAIN_WORD.findall(low))
+            if told.isdisjoint(_ERROR_KEYS) and told.isdisjoint(_MASH) and told.isdisjoint(LOREM):
+                return None
     if _ERROR.match(u):
         return "error"
     if _SCRIPTS.match(u):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.bpe import PATTERN, TOKENIZERS, Decoder, Encoder, count_tokens, decode_column, encode_column, read_ranks
+from tessera.llm import residue
 from tessera.llm.near_dup import similar_groups
 from tessera.llm.packing import pack, pack_group
 from tessera.llm.residue import findings, flag_residue, templates, suspects
@@ -171,3 +172,38 @@ def test_identical_repeats_prove_a_slot(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     # several documents are a proof; one document, though it repeats, is none
     assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == set(range(5))
+
+
+def samples(p):
+    """Strings that a parsed pattern matches: each branch at least once, optional parts with and without."""
+    out = [""]
+    for op, arg in p:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "SUBPATTERN":
+            more = samples(arg[-1])
+        elif name == "BRANCH":
+            more = [s for x in arg[1] for s in samples(x)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [s * n for s in samples(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+        elif name == "IN":
+            kind, v = arg[0]
+            more = {"LITERAL": lambda: [chr(v)], "RANGE": lambda: [chr(v[0])], "CATEGORY": lambda: ["4" if "DIGIT" in str(v) else " " if str(v).endswith("_SPACE") else "x"], "NEGATE": lambda: ["x"]}[str(kind)]()
+        else:
+            more = [""] if name == "AT" else ["x"]
+        n = max(len(out), len(more))
+        out = [out[i % len(out)] + more[i % len(more)] for i in range(n)]
+    return out
+
+
+def test_every_alternative_passes_the_cues():
+    for u in ("Serverfehler", "Error404", "HTTP503"):  # the words of these were on no list
+        assert residue._page_kind(u) == "error", u
+    seen = 0
+    for p in residue._KINDS:
+        for s in {s for s in samples(residue._parser.parse(p.pattern)) if s.isascii() and p.match(s)}:
+            seen += 1
+            assert residue._CUE.search(s.lower()), s
+            assert residue._page_kind(s), s
+    assert seen > 100
