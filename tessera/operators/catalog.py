@@ -96,3 +96,13 @@ def smallest_prime(c: Column, n_primes: int = 100) -> Column:
             primes.append(x)
         x += 1
     return F.array_min(F.filter(F.array(*map(F.lit, primes)), lambda p: (c >= 2) & (c % p == 0)))
+
+
+def alphabet(df: DataFrame, group: str, text: str, pattern: list[str]) -> DataFrame:
+    """group, symbols (distinct characters of all its texts), shared (those of the pattern among them).
+
+    A character is a code point, whatever its script. Distinct symbols of each text come first, so what is shuffled is
+    small. A group without any character has no row.
+    """
+    c = df.select(group, F.explode(F.array_distinct(F.split(text, ""))).alias("c")).where("c <> ''")
+    return c.groupBy(group).agg(F.countDistinct("c").alias("symbols"), F.countDistinct(F.when(F.col("c").isin(pattern), F.col("c"))).alias("shared"))

@@ -203,6 +203,11 @@ def _alphabet(spark, d):
     return c.groupBy("lang").agg(F.countDistinct("c").alias("symbols"), F.countDistinct(F.when(F.col("c").isin("a", "b", "波"), F.col("c"))).alias("shared"))
 
 
+@query("SELECT lang, count(DISTINCT c) AS symbols, count(DISTINCT c) FILTER (c IN ('a', 'b', '波')) AS shared FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1", "diag_string_matching_analyze_whole_alphabet")
+def _whole_alphabet(spark, d):
+    return catalog.alphabet(table(spark, d, "documents"), "lang", "text", ["a", "b", "波"])
+
+
 @query("SELECT doc_id, round(40.0 / n_chars, 6) AS ratio, CASE WHEN 40 > n_chars THEN 'longer' WHEN 40.0 / n_chars > 0.5 THEN 'long' ELSE 'short' END AS kind FROM documents WHERE n_chars > 0", "diag_string_matching_check_pattern_text_ratio")
 def _ratio(spark, d):
     r = F.lit(40).cast("double") / F.col("n_chars")

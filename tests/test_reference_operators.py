@@ -337,3 +337,12 @@ def test_upsert_stream_can_run_again(spark, tmp_path):
 def test_dispatch_latency(spark):
     df = spark.createDataFrame([("d1", "start", 1.0, "p", None), ("d1", "finish", 3.0, "p", True), ("d1", "finish", 9.0, "p", False), ("d2", "start", 1.0, "p", None), ("d3", "finish", 1.0, "p", True)], "d string, kind string, t double, g string, ok boolean")
     assert rows(logs.dispatch_latency(df, "d", "kind", "t", "g", "ok")) == [("p", 2, 1, 0, 2.0, 2.0)]
+
+
+def test_alphabet_counts_all_characters(spark):
+    texts = [("fr", "déjà vu, ça va"), ("fr", "œuf\n\té"), ("ja", "波形を見る"), ("ja", "abc 😀𠮷"), ("xx", "e\u0301 é"), ("xx", ""), ("xx", None), ("none", None)]
+    want: dict = {}
+    for lang, text in texts:
+        want.setdefault(lang, set()).update(text or "")
+    got = {r.lang: (r.symbols, r.shared) for r in catalog.alphabet(spark.createDataFrame(texts, "lang string, text string"), "lang", "text", ["a", "b", "波"]).collect()}
+    assert got == {k: (len(v), len(v & {"a", "b", "波"})) for k, v in want.items() if v}
