@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,13 +96,12 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
     return df.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>")).mapInArrow(run, f"{name}_keys array<{kind}>, {name}_vecs binary")
 
 
-def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, size: int) -> DataFrame:
-    """Exact cosine neighbours of every query: query, key, rank, similarity; a query isn't its own neighbour.
+def _similar_pairs(base: DataFrame, queries: DataFrame, key: str, vector: str, size: int, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """query, key, similarity of the pairs that `pick` takes of each block: places in the queries and in the rows, from
+    their similarities (-inf for a query with itself) and the rows' keys.
 
-    Queries and rows meet in blocks: each block of rows is sent once to each block of queries, one matrix product
-    gives their similarities, and k of each query go on. So what is shuffled is rows x query blocks, never pairs.
-    `queries` is a stated part of the rows (such as every hundredth). Vectors of another size than `size` are left
-    out. Ties go by key.
+    Queries and rows meet in blocks: each block of rows is sent once to each block of queries, and one matrix product
+    gives their similarities. So what is shuffled is rows x query blocks, never pairs.
     """
     ok = lambda d: d.where(F.col(vector).isNotNull() & (F.size(vector) == size))
     b = _blocks(ok(base), key, vector, BLOCK, "b")
@@ -117,17 +116,39 @@ def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k:
                 qv, bv = (np.frombuffer(batch.column(j)[i].as_py(), np.float32).reshape(-1, size).astype(np.float64) for j in (1, 3))
                 sims = unit(qv) @ unit(bv).T
                 sims[qk[:, None] == bk[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(bk, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-                s = np.take_along_axis(sims, order, axis=1)
-                fine = np.isfinite(s).ravel()
+                at, to = pick(sims, bk)
+                s = sims[at, to]
+                fine = np.isfinite(s)
                 kind = batch.column(0).type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, order.shape[1])[fine], kind), pa.array(bk[order].ravel()[fine], kind), pa.array(s.ravel()[fine])], names=["query", "key", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(qk[at][fine], kind), pa.array(bk[to][fine], kind), pa.array(s[fine])], names=["query", "key", "similarity"])
+
+    return q.join(b).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
+
+
+def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, size: int) -> DataFrame:
+    """Exact cosine neighbours of every query: query, key, rank, similarity; a query isn't its own neighbour.
 
-    pairs = q.join(b).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
+    k of each query go on from each block. `queries` is a stated part of the rows (such as every hundredth). Vectors of
+    another size than `size` are left out. Ties go by key.
+    """
+
+    def best(sims: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
+        return np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+
+    pairs = _similar_pairs(base, queries, key, vector, size, best)
     w = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "key")
     return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def vector_at_least(base: DataFrame, queries: DataFrame, key: str, vector: str, least: float, size: int) -> DataFrame:
+    """All rows whose cosine similarity to a query is at least `least`: query, key, similarity; a query isn't its own.
+
+    The result has as many rows as there are such pairs. Vectors of another size than `size` are left out.
+    """
+    return _similar_pairs(base, queries, key, vector, size, lambda sims, keys: np.nonzero(sims >= least))
+
+
 def rrf(rankings: list[tuple[DataFrame, float]], key: str, constant: float = 60.0) -> DataFrame:
     """Reciprocal rank fusion: key, score = sum of weight / (constant + rank) over the rankings that have the key."""
     parts = [r.select(key, (F.lit(float(w)) / (F.lit(constant) + F.col("rank"))).alias("_s")) for r, w in rankings]

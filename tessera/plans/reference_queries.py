@@ -238,6 +238,12 @@ def vector_threshold(spark, d):
     return retrieval.similar_to(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 0.1).select("vec_id", R("similarity").alias("similarity"))
 
 
+@query(f"SELECT a.vec_id AS query, b.vec_id AS key, round({_SIM}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {_SIM} >= 0.1")
+def vector_threshold_all(spark, d):
+    e = table(spark, d, "embeddings")
+    return retrieval.vector_at_least(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.1, 64).select("query", "key", R("similarity").alias("similarity"))
+
+
 def _hybrid(spark, d):
     f = fts_any_token(spark, d)
     v = retrieval.similar_to(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d)).select(F.col("vec_id").alias("doc_id"), R("similarity").alias("score"))

@@ -143,6 +143,15 @@ def test_vector_top_k(spark):
         assert [got[q][i] for i in range(1, 6)] == list(np.lexsort((np.arange(len(s)), -s))[:5])
 
 
+def test_vector_at_least_takes_all_queries(spark):
+    vs = np.random.default_rng(1).normal(size=(5000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)] + [(9000, None), (9100, [1.0])], "id int, e array<double>")
+    got = {(x.query, x.key) for x in retrieval.vector_at_least(df, df.where("id % 100 = 0"), "id", "e", 0.8, 8).collect()}
+    u = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    want = {(q, int(k)) for q in range(0, 5000, 100) for k in np.nonzero(u @ u[q] >= 0.8)[0] if k != q}
+    assert got == want and len({q for q, _ in got}) > 1
+
+
 def test_rank_fusion_and_recall(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, rank int")
     b = spark.createDataFrame([("y", 1)], "k string, rank int")
