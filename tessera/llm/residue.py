@@ -157,8 +157,6 @@ _CHROME_LINE = regex.compile(r"(?i)^(?:skip to (?:main )?content|(?:[\p{L}]+(?:
 _CHROME_TAG = regex.compile(r"(?i)<(?:html|body|noscript)\b")
 #: A page is furniture and little else: at most so many characters beside it.
 PAGE_CHARS = 400
-#: Lines up to this length are held against the lines of pages. Longer ones are prose; pages are told by short lines.
-LINE_CHARS = 120
 
 #: The words of the usual filler text.
 LOREM = frozenset(
@@ -264,7 +262,7 @@ def _page_kind(unit: str) -> str | None:
 
 def frame(unit: str) -> str:
     """A unit without case, numbers and what surrounds it: what equal units of a page share."""
-    return regex.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.strip(_TRIM).lower())[:300]
+    return regex.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.strip(_TRIM).lower())
 
 
 def findings(text: str) -> list[tuple[str, str, str, bool]]:
@@ -282,7 +280,8 @@ def findings(text: str) -> list[tuple[str, str, str, bool]]:
     if chrome:
         out.extend(("page", frame(u), "", True) for u in rest)
     else:
-        out.extend(("line", frame(u), "", False) for u in rest if len(u) <= LINE_CHARS and "◦" not in u and len(_WORD.findall(u)) > 1)
+        # the lines of a page have PAGE_CHARS together, so a longer frame is no page's
+        out.extend(("line", f, "", False) for u in rest if "◦" not in u and len(f := frame(u)) <= PAGE_CHARS and len(_WORD.findall(u)) > 1)
     for unit in _UNIT.split(text):
         if not unit or unit.isspace():
             continue

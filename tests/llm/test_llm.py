@@ -207,3 +207,11 @@ def test_every_alternative_passes_the_cues():
             assert residue._CUE.search(s.lower()), s
             assert residue._page_kind(s), s
     assert seen > 100
+
+
+def test_long_page_lines_are_found_elsewhere(spark):
+    line = "Etwas ging hier schief, und darum zeigt der Katalog an dieser Stelle nur diese eine lange Zeile, " * 2 + "bis jemand sie ersetzt"
+    furniture = "Home | Catalog | Runs | Sign in"
+    rows = [(1, f"{furniture}\n\n{line}"), (2, f"{furniture}\n\n{line}"), (3, f"A real text.\n\n{line}\n\nMore of it."), (4, f"A real text.\n\n{line} by other means")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == {1, 2, 3}
