@@ -9,7 +9,7 @@ from tessera.functions.text import norm_id, trim_all, words
 from tessera.llm.bpe import count_tokens, decode_column, encode_column
 from tessera.llm.near_dup import similar_groups
 from tessera.llm.packing import pack
-from tessera.llm.residue import flag_residue, suspects, templates
+from tessera.llm.residue import aligned_units, flag_residue, induced_slots
 from tessera.session import Written
 from tessera.sources.tables import table
 
@@ -70,14 +70,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with residue by source and kinds."""
+    """Documents with residue by source, kinds and proof (by the corpus, or by a fixed value only)."""
     flagged = flag_residue(table(spark, d, "documents"), "doc_id", "text")
-    return table(spark, d, "documents").select("doc_id", "source").join(flagged, "doc_id").groupBy("source", F.array_join("kinds", "+").alias("kinds")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", "source").join(flagged, "doc_id").groupBy("source", F.array_join("kinds", "+").alias("kinds"), "proof").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
-    """The templates that the alignment found, and how often and how differently they are filled."""
-    return templates(suspects(table(spark, d, "documents"), "doc_id", "text").where("kind <> 'line'"))
+    """The slots that the alignment induced: the words around them, and how often and how differently they are filled."""
+    return induced_slots(aligned_units(table(spark, d, "documents"), "doc_id", "text")).where("several").select("said", "n_places", "differ", F.col("top").cast("bigint").alias("top"))
 
 
 def p10_kept(spark: SparkSession, d: str) -> DataFrame:

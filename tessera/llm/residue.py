@@ -1,12 +1,18 @@
 """Template residue, filler text, error pages and scripts-required notices.
 
-Texts are cut into units (lines and sentences) after everything that is quoted or shown as code is taken out. Units
-that hold something shaped like a slot are aligned over the whole corpus: units with the same words around their slots
-are of one template, and a place where they differ is a slot. A slot is unfilled where it still holds a variable's
-name, a default or a blank. Shapes that nothing but a template uses count wherever they stand; shapes that prose uses
-too (braces, brackets, capitals) count only where the alignment proves a slot. Whole units that are a known kind of
-error page, filler or scripts-required notice count as they are. A text that is page furniture and little else is a
-page, and lines that several such pages share are page templates wherever else they stand alone.
+Texts are cut into units (sentences of lines) after everything that is quoted or shown as code is taken out. All units
+of all texts are aligned over the corpus by their words:
+
+* A slot is induced where aligned units differ: units with the same words around a place that holds a marker (a
+  variable's name, a default, a blank) in one and something else in another, or the same marker in several documents.
+  Slots that still hold a name, a default or nothing are unfilled.
+* A page template is a unit that several documents repeat. Repeated units that also read like an error, a filler or a
+  scripts-required notice are residue, and so are units that occur nearly only beside such units, in different places,
+  and texts of page furniture and nothing but repeated units.
+
+The fixed values below are templates that are known from elsewhere: each counts as one record more that a unit is
+aligned with, so a document that alone holds one is found too. `flag_residue` says of each record whether the corpus
+gave the proof ('aligned') or only a fixed value did ('listed').
 """
 
 from __future__ import annotations
@@ -15,8 +21,10 @@ import re
 from collections.abc import Iterator
 from re import _parser
 
+import ahocorasick
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,33 +35,40 @@ from tessera.session import Written
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+)*"
 #: Only templates use these.
 SURE = [
-    r"\{\{[^{}\n]{0,80}\}\}",
-    r"\{%-?[^%\n]{1,80}%\}",
-    r"<%[^%\n]{1,80}%>",
-    r"\$\{[A-Za-z_][\w.]*\}",
+    r"\{\{[^{}\n]*\}\}",
+    r"\{%-?[^%\n]+%\}",
+    r"<%[^%\n]+%>",
+    r"\$\{[a-z_][\w.]*\}",
     r"#\{[A-Za-z_][\w.]*\}",
     r"%\([A-Za-z_]\w*\)[sdf]",
     r"@@\w+@@",
     rf"\[\[{_NAME}\]\]",
     rf"<<{_NAME}>>",
     rf"&lt;{_NAME}&gt;",
-    rf"\[(?i:insert|enter|add|your|fill in)\b[^\]\n]{{1,60}}\]",
-    rf"<(?i:insert|enter|your)\b[^>\n]{{1,60}}>",
+    r"\[(?i:insert|enter|add|your|fill in)\b[^\]\n]+\]",
+    r"<(?i:insert|enter|your)\b[^>\n]+>",
 ]
-#: Prose, mathematics or code may use these too.
+#: Prose, mathematics or code may use these too: a slot where several documents have it, or aligned units differ.
 MAYBE = [
-    r"(?<![\\\w}$^])\{[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*\}",
+    r"(?<![\\\w}$^])\{[A-Za-z][A-Za-z0-9]+(?:_[A-Za-z0-9]+)*\}",
     r"<[A-Z][A-Z0-9]*(?:[_ \-][A-Z0-9]+)*>",
     r"\[[A-Z]{2,}(?:[_ \-][A-Z]{2,})*\]",
-    r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\b",
     r"%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%",
     r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
-    r"\((?i:your) [a-z ]{2,40}\)",
+    r"\((?i:your) [a-z ]+\)",
     r"\bX{4,}\b",
     r"(?<!_)_{4,}(?!_)",
 ]
-_SURE = regex.compile("|".join(SURE))
-_SLOT = regex.compile("|".join(SURE + MAYBE))
+#: Names that prose often uses: a slot only where aligned units differ.
+RARELY = [
+    r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\b",
+    r"\$\{[A-Z_][\w.]*\}",
+    r"(?<![\w.$])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b(?![.(])",
+    r"(?<![\\\w}$^])\{[A-Za-z]\}",
+]
+#: Defaults: unfilled only in a slot that template-only markers hold in other documents.
+DEFAULT = [r"(?<![\w/])(?:N/A|n/a|TBD|TODO|FIXME|null|NULL|undefined|NaN|None|\[object Object\])(?![\w/])"]
+_SLOT = regex.compile("|".join(f"({'|'.join(x)})" for x in (SURE, MAYBE, RARELY, DEFAULT)))
 
 # --- fixed values: what shows a text as a subject
 
@@ -61,10 +76,10 @@ _SHOWN = [
     regex.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)"),
     regex.compile(r"(?s)<(pre|code)\b[^>]*>.*?</\1>"),
     regex.compile(r"(?<!`)(`+)(?!`)[^\n]+?(?<!`)\1(?!`)"),
-    regex.compile(r'(?s)(?<=[\s(\[:,])"\s*\{.{0,2000}?\}"(?=[\s.,;:)\]]|$)'),
-    regex.compile(r'(?s)(?<=[\s(\[:,])"\s*<.{0,2000}?>"(?=[\s.,;:)\]]|$)'),
-    regex.compile(r'(?s)(?<=[\s(\[,])"(?=\S)[^"]{1,2000}"(?=[\s.,;:)\]]|$)'),
-    regex.compile(r"(?s)“[^”]{1,2000}”|„[^“”]{1,2000}[“”]|«[^»]{1,2000}»|「[^」]{1,2000}」|『[^』]{1,2000}』|‘[^’\n]{1,400}’(?!\w)"),
+    regex.compile(r'(?s)(?<=[\s(\[:,])"\s*\{.*?\}"(?=[\s.,;:)\]]|$)'),
+    regex.compile(r'(?s)(?<=[\s(\[:,])"\s*<.*?>"(?=[\s.,;:)\]]|$)'),
+    regex.compile(r'(?s)(?<=[\s(\[,])"(?=\S)[^"]+"(?=[\s.,;:)\]]|$)'),
+    regex.compile(r"(?s)“[^”]+”|„[^“”]+[“”]|«[^»]+»|「[^」]+」|『[^』]+』|‘[^’\n]+’(?!\w)"),
     regex.compile(r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)"),
 ]
 _TAG = regex.compile(r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|center|noscript|main|section|br|hr)\b[^>]*>")
@@ -145,7 +160,7 @@ _ERROR_KEYS = frozenset(
     "expirado expirada denegado mantenimiento indisponível expirou negado manutenção erro erreur verfügbar disponible existe existiert exist exists found reconnectez oops wrong".split()
 )
 _SMALL = frozenset(
-    "a an the this that is are was were be been has have had not no you your we our us it its to of on in at for by or and may can could do does did with if in the from more "
+    "t re ve ll a an the this that is are was were be been has have had not no you your we our us it its to of on in at for by or and may can could do does did with if in the from more "
     "le la les un une de des du ce cette votre vous nous est a été n ne pas plus se sur dans pour l d s c qu "
     "der die das den dem ein eine dieser diese dieses ist sind war wurde hat mehr sie ihre ihr ihren wir zu auf im in für mehr es "
     "el la los las un una de del su sus se es ya no en por para al lo le y o usted "
@@ -155,9 +170,6 @@ _ERROR_CJK = regex.compile(r"^(?=.{2,40}$)(?:.*(?:会话|登录|服务|页面|
 #: Page furniture: a line of links, or markup around a whole text.
 _CHROME_LINE = regex.compile(r"(?i)^(?:skip to (?:main )?content|(?:[\p{L}]+(?: [\p{L}]+)?)(?:(?: [|·•] | {2,})(?:[\p{L}]+(?: [\p{L}]+)?)){2,6})$")
 _CHROME_TAG = regex.compile(r"(?i)<(?:html|body|noscript)\b")
-#: A page is furniture and little else: at most so many characters beside it.
-PAGE_CHARS = 400
-
 #: The words of the usual filler text.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation "
@@ -169,32 +181,57 @@ _PLAIN_WORD = re.compile(r"[a-z0-9]+")
 #: A unit is filler from this many of its words, and this share, being filler words.
 LOREM_WORDS, LOREM_SHARE = 4, 0.8
 
-#: A shape that prose may use is a slot where its template has this many slots, or this many units fill it differently.
-#: Two documents with the same template and marker prove it too: an unfilled template keeps its variable's name.
-PROOF = 2
+#: Stems of what an error page is about, of what went wrong with it, and of a scripts notice; a unit that is mostly made of them reads like one.
+_ABOUT = (
+    "page site server document resource file link address request session access connection service website content",
+    "seite dokument ressource datei adresse anfrage sitzung zugriff verbindung dienst inhalt",
+    "pagina sito documento risorsa richiesta sessione accesso connessione servizio contenuto",
+    "página sitio recurso archivo enlace solicitud sesión acceso conexión servicio arquivo sessão acesso conexão serviço",
+    "ressource fichier lien requête accès connexion demandé",
+    "bestand verbinding verzoek sessie toegang dienst", "strona serwer plik żądanie sesja dostęp połączenie", "sida sidan filen begäran åtkomst anslutning",
+    "страниц сайт сервер документ ресурс файл запрос сесси доступ соединени", "sayfa sunucu dosya istek oturum erişim bağlantı", "페이지 서버 파일 요청 접근 연결",
+)
+_WRONG = (
+    "error fail not found missing unavailable reached denied forbidden refused expired timeout invalid broken sorry oops wrong try again reload retry can't cannot couldn't",
+    "fehler nicht gefunden verfügbar verweigert abgelaufen erneut ungültig", "errore non trovata trovato disponibile negato scaduta riprova riprovare impossibile",
+    "encontrada encontrado disponible denegado caducado inténtelo intente disponível negado expirou tente novamente não",
+    "introuvable indisponible refusé expiré réessayez erreur", "niet gevonden beschikbaar geweigerd verlopen fout opnieuw probeer", "błąd nie znaleziono znaleziona niedostępna odmowa wygasła spróbuj ponownie",
+    "fel hittades inte tillgänglig nekad försök igen", "ошибк не найден недоступ отказано истек попробуйте снова", "hata bulunamadı kullanılamıyor reddedildi tekrar deneyin", "오류 찾을 없습니다 거부 다시",
+)
+_SCRIPT_WORDS = (
+    "javascript javascripts scripts cookies browser enable enabled disabled turn activate allow requires required need needs without please",
+    "aktivieren browser einschalten benötigt bitte", "abilita attiva richiede", "activa active habilita requiere navegador", "ative habilite requer", "activez nécessite navigateur",
+    "schakel inschakelen vereist", "włącz przeglądarka wymaga", "aktivera webbläsare kräver", "включите браузер требуется", "etkinleştirin tarayıcı", "활성화 브라우저",
+)
+_stems = lambda *lists: re.compile("(?:" + "|".join(sorted({re.escape(w) for part in lists for line in part for w in line.split()}, key=lambda w: (-len(w), w))) + ")")
+_ABOUT_STEM, _WRONG_STEM, _SCRIPT_STEM = _stems(_ABOUT), _stems(_WRONG), _stems(_SCRIPT_WORDS)
+#: Of its words but small ones and numbers this share must have such a stem.
+STEM_SHARE = 0.75
 
+#: A line belongs to a page template if at least this share of its occurrences stands beside proven page units.
+PAGE_SHARE = 0.9
+#: Words a template must have beside its slots for a unit with just these words to be one whose slots are blank.
+BLANK_WORDS = 3
 
 #: What a text must hold for the patterns of _SHOWN to find anything, in their order.
 _OPENERS = [("```", "~~~"), ("<pre", "<code", "<PRE", "<CODE"), ("`",), ('"',), ('"',), ('"',), ("“", "„", "«", "「", "『", "‘"), ("$$", "\\[", "\\(")]
 #: A unit without any of these holds no slot.
-_SLOT_MARKS = regex.compile(r"[{}<>\[$%@#&]|__|XXXX|\((?i:your) ")
+_SLOT_MARKS = re.compile(r"[{}<>\[$%@#&]|__|XXXX|[A-Z]_[A-Z]|\([Yy]our |\([Yy][Oo]|N/A|n/a|TBD|TODO|FIXME|null|NULL|undefined|NaN|None|YOUR ")
 
 
 def _required(p) -> set[str] | None:
-    """Lower-case parts of which each ASCII match of a parsed pattern holds one; empty if none is ASCII, None if unknown."""
+    """Lower-case parts of which each match of a parsed pattern holds one; None if unknown."""
     found: list[set[str]] = []
     run = ""
     for op, arg in [*p, (None, None)]:
-        if op is _parser.LITERAL and arg < 128:
+        if op is _parser.LITERAL:
             run += chr(arg).lower()
             continue
         if run:
             found.append({run})
             run = ""
         own: set[str] | None = None
-        if op is _parser.LITERAL:
-            own = set()
-        elif op is _parser.SUBPATTERN:
+        if op is _parser.SUBPATTERN:
             own = _required(arg[-1])
         elif op is _parser.BRANCH:
             each = [_required(x) for x in arg[1]]
@@ -203,25 +240,43 @@ def _required(p) -> set[str] | None:
             own = _required(arg[2])
         if own is not None:
             found.append(own)
-    if set() in found:
-        return set()
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 
 
-def _any_of(parts: set[str]) -> str:
-    """A pattern for any of the parts, with common beginnings written once."""
-    by: dict[str, set[str]] = {}
-    for x in parts:
-        if not x:
-            return ""  # what goes on from here is found with it
-        by.setdefault(x[0], set()).add(x[1:])
-    each = [re.escape(c) + _any_of(rest) for c, rest in sorted(by.items())]
-    return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+#: Every match of a pattern of a kind holds one of these in lower case. They are made from the patterns, so never narrower.
+_KINDS = (_ERROR, _SCRIPTS, _FILLER, _INSTEAD)
+_PARTS = set().union(*(_required(_parser.parse(p.pattern)) for p in _KINDS))
+_CUES = ahocorasick.Automaton()
+for _part in _PARTS:
+    _CUES.add_word(_part, len(_part))
+_CUES.make_automaton()
+_cued = lambda low: next(_CUES.iter(low), None) is not None
+#: Words of which a unit of word-list kinds holds one.
+_WORD_CUES = _ERROR_KEYS | _MASH | LOREM
+_WORDS = re.compile(r"\w+")
+_CJK = re.compile(r"[぀-ヿ一-鿿]")
+_SENTENCE = re.compile(r"([.!?][\"'”)]?)\s+|([。！？])\s*")
+_JOINED = re.compile(r"\.?: | - | – ")
+_STATUS_NUMBER = re.compile(r"\b[45]\d\d\b")
+_IS_SMALL, _IS_WRONG, _IS_ABOUT, _IS_SCRIPT = 1, 2, 3, 4
+
 
+class _Says(dict):
+    """What each word met says; it starts anew when it grows too large, results are the same."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        tests = ((lambda w: w in _SMALL or w == "0", _IS_SMALL), (_WRONG_STEM.match, _IS_WRONG), (_ABOUT_STEM.match, _IS_ABOUT), (_SCRIPT_STEM.match, _IS_SCRIPT))
+        self[word] = found = next((kind for test, kind in tests if test(word)), 0)
+        return found
+
+
+_SAYS = _Says()
+
+#: What speaks for a unit: a fixed value (one record more), only its words (it must be repeated), or nothing.
+KNOWN, CUED, PLAIN = 2, 1, 0
 
-#: Lower-case units of ASCII that match a pattern of a kind hold this. It is made from the patterns, so it is never narrower.
-_KINDS = (_ERROR, _SCRIPTS, _FILLER, _INSTEAD)
-_CUE = re.compile(_any_of(set().union(*(_required(_parser.parse(p.pattern)) for p in _KINDS))))
 
 def visible(text: str, first: int = 0) -> str:
     """The text without what it shows as code, quotes or formulas; each such part leaves a mark."""
@@ -231,121 +286,204 @@ def visible(text: str, first: int = 0) -> str:
     return _TAG.sub("\n", text) if "<" in text else text
 
 
-def _page_kind(unit: str) -> str | None:
-    u = unit.strip(_TRIM)
-    if not u:
-        return None
-    if u.isascii():
-        low = u.lower()
-        if not _CUE.search(low):
-            told = set(_PLAIN_WORD.findall(low))
-            if told.isdisjoint(_ERROR_KEYS) and told.isdisjoint(_MASH) and told.isdisjoint(LOREM):
-                return None
-    if _ERROR.match(u):
-        return "error"
-    if _SCRIPTS.match(u):
-        return "scripts"
-    if _FILLER.match(u) or _INSTEAD.match(u):
-        return "filler"
-    ws = _WORD.findall(u.lower())
-    if len(ws) <= 16:
-        if len(ws) >= 3 and sum(w in _MASH for w in ws) >= 0.6 * len(ws):
-            return "filler"
+def _shape(low: str) -> list[str]:
+    """The words of a lower-case unit; numbers and what holds digits are alike."""
+    return [w if w.isalpha() else "0" if any(c.isdigit() for c in w) else w for w in _WORDS.findall(low)]
+
+
+def _hash(*words: str) -> int:
+    """A signed 64-bit hash, never 0 (which stands for none)."""
+    h = xxhash.xxh3_64_intdigest(" ".join(words))
+    return (h - (1 << 64) if h >> 63 else h) or 1
+
+
+def page_kind(unit: str, low: str, words: list[str]) -> tuple[str, int]:
+    """What kind of page a unit reads like and how sure that is: KNOWN, CUED, or ('', PLAIN)."""
+    if _cued(low):
+        u = unit.strip(_TRIM)
+        if _ERROR.match(u):
+            return "error", KNOWN
+        if _SCRIPTS.match(u):
+            return "scripts", KNOWN
+        if _FILLER.match(u) or _INSTEAD.match(u):
+            return "filler", KNOWN
+    if not _WORD_CUES.isdisjoint(words):
+        n = len(words)
+        if n >= 3 and sum(w in _MASH for w in words) >= 0.6 * n:
+            return "filler", KNOWN
+        ws = _WORD.findall(low)
         told = [w for w in ws if w in _ERROR_WORDS and w not in _SMALL]
         if len(told) >= 2 and any(w in _ERROR_KEYS for w in told) and all(w in _ERROR_WORDS or w in _SMALL for w in ws):
-            return "error"
-        if _ERROR_CJK.match(u):
-            return "error"
-    n = sum(w in LOREM for w in ws)
-    return "filler" if n >= LOREM_WORDS and n >= LOREM_SHARE * len(ws) else None
-
-
-def frame(unit: str) -> str:
-    """A unit without case, numbers and what surrounds it: what equal units of a page share."""
-    return regex.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.strip(_TRIM).lower())
+            return "error", KNOWN
+        n = sum(w in LOREM for w in ws)
+        if n >= LOREM_WORDS and n >= LOREM_SHARE * len(ws):
+            return "filler", KNOWN
+    if not unit.isascii() and _CJK.search(unit) and _ERROR_CJK.match(unit.strip(_TRIM)):
+        return "error", KNOWN
+    told = [_SAYS[w] for w in words]
+    # what the words alone say, but for small ones and numbers
+    if _IS_WRONG in told and (_IS_ABOUT in told or _STATUS_NUMBER.search(low)) and told.count(_IS_WRONG) + told.count(_IS_ABOUT) >= STEM_SHARE * (len(told) - told.count(_IS_SMALL)):
+        return "error", CUED
+    if ("javascript" in low or "cookies" in low) and told.count(_IS_SCRIPT) >= STEM_SHARE * (len(told) - told.count(_IS_SMALL)):
+        return "scripts", CUED
+    return "", PLAIN
+
+
+def _slots(unit: str) -> list[tuple] | None:
+    """(words hash, left-anchored, right-anchored, context, marker, rank, marker text) of each slot-like place; None if there is none.
+
+    The context of a place is up to two words on either side, up to the next place. A place without words around it is
+    its own context if its marker is one that only templates use.
+    """
+    found = list(_SLOT.finditer(unit))
+    if not found:
+        return None
+    parts, at = [], 0
+    for m in found:
+        parts.append(_shape(unit[at : m.start()].lower()))
+        at = m.end()
+    parts.append(_shape(unit[at:].lower()))
+    words = [w for p in parts for w in p]
+    h = _hash(*words) if len(words) >= BLANK_WORDS else 0
+    a, z = parts[0], parts[-1]
+    one = _hash(a[0], a[1], z[-1]) if len(a) >= 2 and z else 0
+    two = _hash(a[0], z[-2], z[-1]) if a and len(z) >= 2 else 0
+    out = []
+    for i, m in enumerate(found):
+        rank = 4 - m.lastindex
+        left, right = parts[i][-2:], parts[i + 1][:2]
+        alone = not left and not right
+        ctx = _hash("alone", "" if rank == 3 else m.group()) if alone else _hash(*left, "◇", *right)
+        out.append((h, one, two, ctx, _hash(m.group()), rank, " ".join([*left, "◇", *right])))
+    return out
 
 
-def findings(text: str) -> list[tuple[str, str, str, bool]]:
-    """(kind, template, fillers, sure) of each suspect unit of a text."""
-    out: list[tuple[str, str, str, bool]] = []
+def units(text: str) -> list[tuple]:
+    """(slot, kind, rank, page, h, one, two, ctx, marker, said) of each unit of a text; see `aligned_units`."""
     plain = text
     for p, marks in zip(_SHOWN[:5], _OPENERS):  # a JSON error has quotes of its own, so only quotes around it take it out
         if any(m in plain for m in marks):
             plain = p.sub(" ◦ ", plain)
-    if '{' in plain and _ERROR_JSON.search(plain):
-        out.append(("error", "{json}", "", True))
-    text = visible(plain, 5)
-    rest = [u for u in text.split("\n") if u.strip() and not _CHROME_LINE.match(u.strip())]
-    chrome = (_CHROME_TAG.search(plain) or sum(1 for u in text.split("\n") if u.strip()) > len(rest)) and sum(map(len, rest)) <= PAGE_CHARS
-    if chrome:
-        out.extend(("page", frame(u), "", True) for u in rest)
-    else:
-        # the lines of a page have PAGE_CHARS together, so a longer frame is no page's
-        out.extend(("line", f, "", False) for u in rest if "◦" not in u and len(f := frame(u)) <= PAGE_CHARS and len(_WORD.findall(u)) > 1)
-    for unit in _UNIT.split(text):
-        if not unit or unit.isspace():
-            continue
-        slots = _SLOT.findall(unit) if _SLOT_MARKS.search(unit) or "____" in unit else []
-        if slots:
-            template = regex.sub(r"[\d.,]+", "0", _SLOT.sub("◇", unit)).strip(_TRIM).lower()
-            out.append(("template", template, "\x1f".join(slots), _SURE.search(unit) is not None or len(slots) >= PROOF))
-            continue
-        kind = _page_kind(unit)
-        if kind is None and len(unit) < 400 and (": " in unit or " - " in unit or " – " in unit):
-            # a page's parts joined in one line: each must be a page's part but those that only guide the reader
-            kind = next((k for k in map(_page_kind, regex.split(r"\.?: | - | – ", unit)[:1]) if k), None)
-        if kind:
-            out.append((kind, unit.strip(_TRIM).lower()[:300], "", True))
+    out: list[tuple] = []
+    if "{" in plain and _ERROR_JSON.search(plain):
+        out.append((False, "error", KNOWN, False, _hash("json error"), 0, 0, 0, 0, "{json}"))
+    shown = visible(plain, 5)
+    lines = [u for u in shown.split("\n") if u and not u.isspace()]
+    rest = [u for u in lines if not (u[0] in "Ss" or "|" in u or "·" in u or "•" in u or "  " in u) or not _CHROME_LINE.match(u.strip())]
+    page = len(rest) < len(lines) or ("<" in plain and _CHROME_TAG.search(plain) is not None)
+    before = 0
+    for line in rest:
+        for unit in _SENTENCE.sub(r"\1\2\n", line).split("\n"):
+            if not unit or unit.isspace():
+                continue
+            found = _slots(unit) if _SLOT_MARKS.search(unit) else None
+            if found:
+                out.extend((True, "template", rank, page, h, one, two, ctx, marker, said) for h, one, two, ctx, marker, rank, said in found)
+                if any(f[5] for f in found):
+                    before = found[0][0]
+                    continue
+            low = unit.lower()
+            words = _shape(low)
+            if not words:
+                continue
+            kind, rank = page_kind(unit, low, words)
+            if rank < KNOWN and (": " in low or " - " in low or " – " in low):
+                # a page's parts joined in one line: the first one tells alone, a later one if the whole is repeated
+                for i, part in enumerate(_JOINED.split(unit)):
+                    k, r = page_kind(part, part.lower(), _shape(part.lower()))
+                    if r == KNOWN:
+                        kind, rank = k, KNOWN if i == 0 else CUED
+                        break
+            h = _hash(*words)
+            shown_part = "◦" in unit
+            # a unit that shows something is none of a page's, but its words may still be aligned
+            out.append((False, kind, rank, page, h if not shown_part or rank else 0, _hash(words[0], words[1], words[-1]) if len(words) > 2 else 0, _hash(words[0], words[-2], words[-1]) if len(words) > 2 else 0, before, 0, unit if rank else ""))
+            before = h
     return out
 
 
-def suspects(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, template, fillers, sure: the suspect units of all texts. Null and blank texts have none."""
+_SCHEMA = "slot boolean, kind string, rank tinyint, page boolean, h bigint, one bigint, two bigint, ctx bigint, marker bigint, said string"
+_TYPES = [pa.bool_(), pa.string(), pa.int8(), pa.bool_(), *[pa.int64()] * 5, pa.string()]
+
+
+def aligned_units(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per unit, or per slot-like place of a unit: key, slot, kind, rank, page, h, one, two, ctx, marker, said.
+
+    h, one and two hash the unit's words: all, the first two and the last, the first and the last two (of a unit with
+    places, the words beside them). ctx hashes the words around a place, or the unit before a unit. rank is 3 for
+    markers that only templates use, then 2, 1 and 0 as in MAYBE, RARELY and DEFAULT, and KNOWN, CUED or PLAIN for
+    units. page tells that the text has page furniture; said is the words of a suspect unit or around a place. Null and
+    blank texts have no rows.
+    """
+    names = [f.split()[0] for f in _SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at: list[int] = []
             rows: list[tuple] = []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                got = findings(t) if t else []
+            texts = b.column(1)
+            for i in range(b.num_rows):
+                t = texts[i].as_py()
+                got = units(t) if t and not t.isspace() else []
                 at.extend([i] * len(got))
                 rows.extend(got)
-            if rows:
-                kind, template, fillers, sure = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(kind), pa.array(template), pa.array(fillers), pa.array(sure)], names=["key", "kind", "template", "fillers", "sure"])
+                if rows and (len(rows) > 50_000 or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32()))] + [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=["key", *names])
+                    at, rows = [], []
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, kind string, template string, fillers string, sure boolean")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, {_SCHEMA}")
 
 
-def _aligned(units: DataFrame) -> DataFrame:
-    """The columns of `templates`, and several: more than one document has the template.
+def induced_slots(rows: DataFrame) -> DataFrame:
+    """The contexts of slot-like places: ctx, said, n_places, several (documents), differ (markers), top (rank)."""
+    return rows.where("slot").groupBy("ctx").agg(
+        F.min("said").alias("said"), F.count(F.lit(1)).alias("n_places"), (F.min("key") < F.max("key")).alias("several"), (F.min("marker") < F.max("marker")).alias("differ"), F.max("rank").alias("top")
+    )
 
-    The grouping is combined before the shuffle: fillings are first made distinct, so a template that a third of all
-    documents share is no hot group.
-    """
-    per = units.groupBy("template", "kind", "fillers").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
-    return per.groupBy("template", "kind").agg(F.sum("n").alias("n_units"), F.count(F.lit(1)).alias("n_fillings"), (F.min("a") < F.max("b")).alias("several"))
+
+def _unfilled(rows: DataFrame) -> DataFrame:
+    """(key, h, aligned) of the places that are proven to be unfilled slots."""
+    places, plain = rows.where("slot"), rows.where("not slot")
+    # records that fill the slot: units with the same words at both ends that differ between them
+    doubtful = places.where("rank in (1, 2)")
+    ends = doubtful.select(F.explode(F.array("one", "two")).alias("end")).where("end <> 0").distinct()
+    filled = plain.select("h", F.explode(F.array("one", "two")).alias("end")).where("end <> 0").join(ends, "end", "left_semi").groupBy("end").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("end", F.lit(True).alias("filled"))
+    at = lambda side: filled.select(F.col("end").alias(side), F.col("filled").alias(f"filled_{side}"))
+    told = places.join(induced_slots(rows).drop("said"), "ctx").join(at("one"), "one", "left").join(at("two"), "two", "left")
+    by_filled = F.coalesce("filled_one", "filled_two", F.lit(False)) & F.col("rank").isin(1, 2)
+    aligned = by_filled | (F.col("several") & (F.col("rank").isin(2, 3) | ((F.col("rank") == 1) & F.col("differ")) | (F.col("top") == 3)))
+    return told.select("key", "h", "rank", aligned.alias("aligned")).where("aligned or rank = 3").select("key", "h", "aligned")
 
 
-def templates(units: DataFrame) -> DataFrame:
-    """The aligned templates: template, kind, n_units, n_fillings (how many different ways their slots are filled)."""
-    return _aligned(units).drop("several")
+def _of(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.select("key", F.lit(kind).alias("kind"), "aligned")
 
 
 def flag_residue(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kinds) of each record whose text holds residue in whole or part; kinds is a sorted array.
+    """(key, kinds, proof) of each record whose text holds residue in whole or part; kinds is a sorted array.
 
-    Null, empty and blank texts are no case, nor are texts that only quote or show such things. Repeated keys are
-    one row. Only suspect units are shuffled, not texts. Other columns are not read.
+    proof is 'aligned' if the corpus gave it, 'listed' if only a fixed value did. Null, empty and blank texts are no
+    case, nor are texts that only quote or show such things. Repeated keys are one row, and one document. Only hashes
+    of units are shuffled, not texts; groups are combined before each shuffle, so a unit that a third of all documents
+    share is no hot group. Other columns are not read.
     """
-    # written once: what is suspect is little, and finding it is the work
-    units = Written(suspects(df, key, text)).df
-    sure = units.where("sure").select("key", "kind")
-    doubtful = units.where(~F.col("sure")).select("key", "kind", "template")
-    # a slot is proven where units of one template fill it differently or several documents repeat it with the same
-    # marker, a page's line where several pages have it
-    aligned = _aligned(units.where("kind in ('template', 'page')"))
-    proven = aligned.where((F.col("n_fillings") >= PROOF) | F.col("several")).where("kind = 'template'").select("template", F.lit("template").alias("kind"))
-    lines = aligned.where("kind = 'page'").where(F.col("n_units") >= PROOF).select("template", F.lit("line").alias("kind"))
-    late = doubtful.join(proven.unionByName(lines), ["template", "kind"], "left_semi").select("key", F.when(F.col("kind") == "line", "page").otherwise(F.col("kind")).alias("kind"))
-    return sure.unionByName(late).groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    rows = Written(aligned_units(df, key, text)).df
+    plain = rows.where("not slot and h <> 0")
+    slots = Written(_unfilled(rows)).df
+    # units with the words of a proven template and nothing in its slots
+    blank = rows.where("not slot").join(slots.where("aligned and h <> 0").select("h").distinct(), "h", "left_semi").select("key", F.lit(True).alias("aligned"))
+    cued = plain.where("rank > 0")
+    repeated = cued.groupBy("h", "kind").agg((F.min("key") < F.max("key")).alias("aligned"))
+    proven = Written(cued.join(repeated, ["h", "kind"]).where(F.col("aligned") | (F.col("rank") == KNOWN)).select("key", "kind", "aligned")).df
+    pages = proven.select("key").distinct()
+    # lines that stand nearly only beside proven ones, in different places of several documents
+    beside = plain.join(pages, "key", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("a < b and x < y").select("h", "n")
+    everywhere = plain.join(beside, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n_all"))
+    page_lines = beside.join(everywhere, "h").where(F.col("n") >= PAGE_SHARE * F.col("n_all")).select("h")
+    lines = plain.join(page_lines, "h", "left_semi").join(pages, "key", "left_anti").select("key", F.lit(True).alias("aligned"))
+    # texts of furniture and repeated units only
+    furnished = plain.where("page").join(pages, "key", "left_anti").select("key", "h")
+    met = plain.join(furnished.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h", F.lit(True).alias("again"))
+    bare = furnished.join(met, "h", "left").groupBy("key").agg(F.min(F.coalesce("again", F.lit(False))).alias("aligned")).where("aligned")
+    found = _of(slots, "template").unionByName(_of(blank, "template")).unionByName(proven).unionByName(_of(lines, "page")).unionByName(_of(bare, "page"))
+    return found.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.when(F.max("aligned"), "aligned").otherwise("listed").alias("proof"))

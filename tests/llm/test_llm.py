@@ -8,8 +8,8 @@ import pytest
 from tessera.llm.bpe import PATTERN, TOKENIZERS, Decoder, Encoder, count_tokens, decode_column, encode_column, read_ranks
 from tessera.llm import residue
 from tessera.llm.near_dup import similar_groups
-from tessera.llm.packing import pack, pack_group
-from tessera.llm.residue import findings, flag_residue, templates, suspects
+from tessera.llm.packing import fill_classes, pack, pack_group
+from tessera.llm.residue import aligned_units, flag_residue, induced_slots, units
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,47 @@ def test_pack_classes():
     assert sorted(np.bincount(box)) == [2, 2, 2] and set(place) == {0, 1}
     box, _ = pack_group(np.array([600, 600, 400, 400]), 1000)
     assert len(set(box)) == 2 and box[0] != box[1]
+    r = np.random.default_rng(5)
+    lengths = r.integers(1, 1001, 3000)
+    for items in fill_classes(lengths, 1000):
+        k = 1000 // lengths[items[0]]
+        assert len(items) <= k and {1000 // n for n in lengths[items]} == {k}
+    counts = {k: int(np.ceil(((1000 // lengths) == k).sum() / k)) for k in set(1000 // lengths)}
+    assert len(fill_classes(lengths, 1000)) == sum(counts.values())
+
+
+def greedy(lengths, capacity):
+    left, out = sorted(range(len(lengths)), key=lambda i: -lengths[i]), []
+    while left:
+        room, items = capacity, []
+        for i in list(left):
+            if lengths[i] <= room:
+                items.append(i)
+                room -= lengths[i]
+                left.remove(i)
+        out.append(items)
+    return out
+
+
+def test_the_classes_shape_the_containers():
+    lengths = np.random.default_rng(6).integers(1, 1001, 400)
+    box, _ = pack_group(lengths, 1000)
+    ours = {frozenset(np.flatnonzero(box == b)) for b in set(box)}
+    plain = {frozenset(items) for items in greedy(lengths, 1000)}
+    assert len(ours & plain) < 0.5 * len(plain) and len(ours) <= 1.05 * len(plain)
+    # a container that keeps its class's items has that class's count of them
+    whole = [items for items in fill_classes(lengths, 1000) if frozenset(items) <= max(ours, key=lambda o: len(o & frozenset(items)))]
+    assert len(whole) > 0.5 * len(ours) and all(len(w) == 1000 // lengths[w[0]] for w in whole if 1000 // lengths[w[0]] == 1)
+
+
+def test_pack_hot_key(spark):
+    df = spark.createDataFrame([(1, 7)] * 500 + [(2, 9)] * 20 + [(1, 25)] * 3, "id bigint, n bigint")
+    rows = pack(df, "id", "n", 10, group=50).collect()
+    assert len(rows) == 520 + 9 and len({r.container for r in rows}) >= 526
+    used: dict = {}
+    for r in rows:
+        used[r.container] = used.get(r.container, 0) + r["size"]
+    assert max(used.values()) <= 10
 
 
 def brute_groups(sets, threshold):
@@ -150,27 +191,57 @@ CASES = {
 }
 
 
-def test_residue_of_single_texts():
-    for text, bad in CASES.items():
-        assert any(f[3] for f in findings(text)) == bad, (text, findings(text))
-
-
 def test_flag_residue(spark):
-    rows = [(i, t, "x") for i, t in enumerate(CASES)] + [(100, None, "x"), (101, "", "x"), (102, " \n", "x"), (103, "fine words here. " * 30_000, "x"), (104, "The seed {alpha} is set.", "x"), (0, list(CASES)[0], "x")]
-    rows += [(105, "Runs by {owner} only.", "x"), (106, "Runs by {title} only.", "x")]
+    # every case stands twice, as the alignment needs a second record for what no fixed value holds
+    texts = list(CASES)
+    rows = [(i + 1000 * j, t, "x") for i, t in enumerate(texts) for j in (0, 1)] + [(100, None, "x"), (101, "", "x"), (102, " \n", "x"), (103, "fine words here. " * 30_000, "x"), (0, texts[0], "x")]
+    rows += [(105, "Runs by {owner} only.", "x"), (106, "Runs by {title} only.", "x"), (107, "The seed {alpha} is set.", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
     got = {r.doc_id: r.kinds for r in flag_residue(df, "doc_id", "text").collect()}
-    # one doubtful slot is no proof, two fillings of one template are
-    assert set(got) == {i for i, b in enumerate(CASES.values()) if b} | {105, 106}
-    t = {r.template: (r.n_units, r.n_fillings) for r in templates(suspects(df, "doc_id", "text")).collect()}
-    assert t["runs by ◇ only0"] == (2, 2)
+    # one doubtful marker is no proof, two in one place are
+    assert {i for i in got if i not in (105, 106)} == {i + 1000 * j for i, b in enumerate(CASES.values()) for j in (0, 1) if b}
+    assert {105, 106} < set(got)
+    t = {r.said: (r.n_places, r.several, r.differ) for r in induced_slots(aligned_units(df, "doc_id", "text")).collect()}
+    assert t["runs by ◇ only"] == (2, True, True) and t["the seed ◇ is set"] == (1, False, False)
     assert flag_residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_slots_are_induced_where_records_differ(spark):
+    rows = [(1, "The budget of $OWNER was met in time."), (2, "The budget of Anna was met in time."), (3, "The budget of the lab was met in time."), (4, "Only $HOME holds the seed."), (5, "Only $HOME holds the seed and more.")]
+    # filled records prove the place; a place that only one record has is none
+    rows += [(6, "Version {{ v }} was released on {{ day }} by {{ who }}."), (7, "Version N/A was released on N/A by N/A."), (8, "Version was released on by ."), (9, "Version 3 was released on Monday by Anna."), (10, "Cutoff is None by default.")]
+    rows += [(11, "Version <%= v %> was released on <%= d %> by <%= w %>.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == {1, 6, 7, 8, 11}
+
+
+def test_page_lines_of_unknown_wording(spark):
+    furniture = "Accueil | Plan | Aide | Contact"
+    line = "Ulo pe tira no soma"  # no word of it is on a list
+    rows = [(i, f"{furniture}\n\n{line}") for i in range(3)]  # furniture and a repeated unit
+    rows += [(10, f"{furniture}\n\nWords that one text alone has, for it is about them.")]
+    rows += [(20 + i, f"404 Not Found\n\n{['', 'Zuma tel. '][i % 2]}Kora mi welu") for i in range(10)] + [(40, "Kora mi welu")]  # a line that stands beside errors
+    for i, u in enumerate(("Pagina non trovata", "Страница не найдена. Ошибка 404", "Schakel JavaScript in", "Włącz JavaScript", "This site can't be reached")):
+        rows += [(100 + 10 * i + j, u) for j in range(5)]
+    rows += [(200 + j, "The grid of the atom was padded.") for j in range(5)] + [(210, "The page fault handler was not found by the tracer.")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.proof for r in flag_residue(df, "doc_id", "text").collect()}
+    assert set(got) == {0, 1, 2, 40} | set(range(20, 30)) | {100 + 10 * i + j for i in range(5) for j in range(5)}
+    assert set(got.values()) == {"aligned"}
+
+
+def test_no_length_ends_a_template(spark):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    quoted = 'It stored "' + "x " * 5000 + '{{ name }}" once.'
+    rows = [(1, f"Hello {{{{ {words} }}}} there"), (2, quoted), (3, f"{words} a N/A end"), (4, f"*** Catalog - 404 Not Found"), (5, f"*** Catalog - 404 Not Found")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == {1, 4, 5}
+
+
 def test_identical_repeats_prove_a_slot(spark):
-    rows = [(i, "Runs by {owner} only.") for i in range(5)] + [(10, "The seed {alpha} is set. The seed {alpha} is set."), (10, "The seed {alpha} is set."), (11, "A plain text.")]
+    rows = [(i, "Runs by {owner} only.") for i in range(5)] + [(10, "The seed {alpha} is set. The seed {alpha} is set."), (10, "The seed {alpha} is set."), (11, "A plain text."), (12, "The set {a} and {b} are disjoint."), (13, "The set {a} and {b} are disjoint."), (14, "Use ${HOME} to find the folder.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    # several documents are a proof; one document, though it repeats, is none
+    # several documents are a proof; one document, though it repeats, is none, and letters in braces need more
     assert {r.doc_id for r in flag_residue(df, "doc_id", "text").collect()} == set(range(5))
 
 
@@ -198,14 +269,15 @@ def samples(p):
 
 
 def test_every_alternative_passes_the_cues():
+    kind = lambda u: residue.page_kind(u, u.lower(), residue._shape(u.lower()))
     for u in ("Serverfehler", "Error404", "HTTP503"):  # the words of these were on no list
-        assert residue._page_kind(u) == "error", u
+        assert kind(u) == ("error", residue.KNOWN), u
     seen = 0
     for p in residue._KINDS:
-        for s in {s for s in samples(residue._parser.parse(p.pattern)) if s.isascii() and p.match(s)}:
+        for s in {s for s in samples(residue._parser.parse(p.pattern)) if p.match(s)}:
             seen += 1
-            assert residue._CUE.search(s.lower()), s
-            assert residue._page_kind(s), s
+            assert residue._cued(s.lower()), s
+            assert kind(s)[1] == residue.KNOWN, s
     assert seen > 100
 
 
