@@ -1,11 +1,16 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Each record's word set gets HASHES minima. Bands of full minima give candidate pairs; only the low BITS bits of each
-minimum are kept, packed into longs, and a pair's similarity is estimated from the equal ones, corrected for those
-that are equal by chance: first from a few fields that travel with the band keys, so that chance meetings end where
-the pair is met, then from all. Pairs well below the threshold go; the rest are checked exactly, so no wrong pair is
-linked. A pair at a similarity of 0.75 is no candidate with a chance of 4 in 100,000, at 0.8 of 4 in 10 million; an
-estimate drops one with a chance of 3 in 10 million.
+Each record's word set gets HASHES minima. Bands of full minima give candidates; only the low BITS bits of each minimum
+are kept, packed into longs, and a pair's similarity is estimated from the equal ones, corrected for those that are
+equal by chance. A band row carries one long of single bits, so that most chance meetings end where they are met. Pairs
+well below the threshold go; the rest are checked exactly, so no wrong pair is linked. A pair at a similarity of 0.75
+is no candidate with a chance of 8 in 100,000, at 0.8 of 4 in 10 million; an estimate drops one with a chance of 3 in
+10 million.
+
+Buckets of any size take the same way. First each member is held against its bucket's least one, and the links found
+so are checked. Then only those members of a bucket are held against each other that are not in one component yet, in
+cells of bounded size spread over all tasks: what a hot bucket costs is the pairs of its members that are not connected
+through its least one, each compared by one exclusive or.
 """
 
 from __future__ import annotations
@@ -20,19 +25,14 @@ from pyspark.sql import functions as F
 from tessera.operators.components import components
 from tessera.session import Written, partitions
 
-BANDS, ROWS, BITS = 96, 8, 2
+BANDS, ROWS, BITS = 48, 6, 2
 HASHES = BANDS * ROWS
-#: Fields that travel with the band keys: every HASHES // SHORT-th minimum.
-SHORT = 128
+#: Single bits that travel with the band keys: of every HASHES / SHORT-th minimum.
+SHORT = 64
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-#: Members of a bucket from which on its pairs are found by way of a leader.
-LARGE = 64
-#: Members of a large bucket that are compared at once, and parts its blocks are spread over.
-BLOCK, SALT = 1024, 8
-
-_M = np.uint64(0xFFFFFFFF)
-
+#: Members of a bucket that a cell compares on either side. More members make more cells, not larger ones.
+CELL = 2048
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20_240_601)
@@ -68,17 +68,18 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return k.view(np.int64)
 
 
-def least_equal(threshold: float, fields: int) -> float:
+def least_equal(threshold: float, fields: int, bits: int = BITS) -> float:
     """The least share of equal fields that a pair at the threshold has, but for a chance in SLACK deviations."""
-    chance = 1.0 / (1 << BITS)
+    chance = 1.0 / (1 << bits)
     expect = chance + (1 - chance) * threshold
     return expect - SLACK * (expect * (1 - expect) / fields) ** 0.5
 
 
 def signatures(sets: DataFrame, key: str, hashes: str) -> DataFrame:
-    """key, sig (packed low bits), short (of every HASHES // SHORT-th minimum) and bands (keys) of each non-empty set
-    of 64-bit word hashes."""
+    """key, sig (packed low bits), short (one bit of SHORT minima) and bands (keys) of each non-empty set of 64-bit word hashes."""
     mul, add = _seeds(HASHES)
+    shift = np.arange(SHORT, dtype=np.uint64)
+    pick = (np.arange(SHORT) * HASHES // SHORT)[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -89,82 +90,83 @@ def signatures(sets: DataFrame, key: str, hashes: str) -> DataFrame:
                 ends = lists.offsets.to_numpy().astype(np.int64)
                 m = minima(flat, ends - ends[0], mul, add)
                 wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                short = pack_bits(m[:, :: HASHES // SHORT])
-                yield pa.RecordBatch.from_arrays([b.column(0), wide(pack_bits(m)), wide(short), wide(band_keys(m))], names=["key", "sig", "short", "bands"])
+                short = np.bitwise_or.reduce((m[:, pick[0]] & np.uint32(1)).astype(np.uint64) << shift, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), wide(pack_bits(m)), pa.array(short), wide(band_keys(m))], names=["key", "sig", "short", "bands"])
 
     src = sets.where(F.size(hashes) > 0).select(F.col(key).alias("key"), F.col(hashes).alias("h"))
-    return src.mapInArrow(run, f"key {sets.schema[key].dataType.simpleString()}, sig array<bigint>, short array<bigint>, bands array<bigint>")
+    return src.mapInArrow(run, f"key {sets.schema[key].dataType.simpleString()}, sig array<bigint>, short bigint, bands array<bigint>")
 
 
-def _equal_fields(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = (x ^ y).view(np.uint64)
-    return 32 * d.shape[1] - np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1).astype(np.int64)
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether single-bit signatures are equal enough."""
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= SHORT - int(np.ceil(least_equal(threshold, SHORT, 1) * SHORT))
 
 
-def met_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Rows (large, near, bucket, a, b) of records that share a band, a < b.
+def stars(sigs: DataFrame, threshold: float) -> DataFrame:
+    """Rows (bucket, a, b, near): each member b of a bucket but its least one, a; near if their bits may reach the threshold.
 
-    Band keys are sorted into buckets and read in order. A bucket of at most LARGE members gives its pairs whose short
-    signatures may reach the threshold (near). A larger one gives every member with the bucket's least member (large
-    is true, near as it is), so its rows are as many as its members and none is held in memory; what that leaves open
-    is settled by `_rest_of_large`.
+    Band rows are sorted by bucket and streamed, so a bucket is never held, however large.
     """
-    parts = [f"s{i}" for i in range(SHORT * BITS // 64)]
-    bk = sigs.select("key", *[F.col("short")[i].alias(p) for i, p in enumerate(parts)], F.posexplode("bands").alias("band", "bk"))
-    bk = bk.select(F.xxhash64("band", "bk").alias("bucket"), "key", *parts)
+    bk = sigs.select("key", "short", F.posexplode("bands").alias("band", "bk")).select(F.xxhash64("band", "bk").alias("bucket"), "key", "short")
     bk = bk.repartition(partitions(sigs.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
-    least = int(np.ceil(least_equal(threshold, SHORT) * SHORT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.empty(0, np.int64) for _ in range(2 + len(parts)))
-        large: tuple | None = None  # the bucket being read that is large, its least member and that one's short signature
-
-        def rows(is_large, near, bucket, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_large)), pa.array(near), pa.array(bucket), pa.array(a), pa.array(b)], names=["large", "near", "bucket", "a", "b"])
-
-        def star(bucket, key, s) -> pa.RecordBatch:
-            near = _equal_fields(s, np.broadcast_to(large[2], s.shape)) >= least
-            return rows(True, near, bucket, np.full(len(key), large[1]), key)
-
-        def small(bucket, key, s) -> Iterator[pa.RecordBatch]:
-            for k in range(1, LARGE):
-                at = np.flatnonzero(bucket[k:] == bucket[:-k])
-                if not len(at):
-                    return
-                at = at[_equal_fields(s[at], s[at + k]) >= least]
-                if len(at):
-                    yield rows(False, np.ones(len(at), bool), bucket[at], key[at], key[at + k])
-
-        def cut(bucket, key, *short, last=False) -> Iterator[pa.RecordBatch]:
-            """Whole buckets but, unless `last`, the one at the end, which is held."""
-            nonlocal held, large
-            if large is not None:
-                n = int(np.searchsorted(bucket, large[0], "right"))
-                if n:
-                    yield star(bucket[:n], key[:n], np.stack([s[:n] for s in short], axis=1))
-                bucket, key, short = bucket[n:], key[n:], tuple(s[n:] for s in short)
-                if len(bucket):
-                    large = None
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1)) if len(bucket) else np.empty(0, np.int64)
-            sizes = np.diff(np.concatenate((starts, [len(bucket)])))
-            for i in np.flatnonzero(sizes > LARGE):
-                a, n = int(starts[i]), int(sizes[i])
-                large = (int(bucket[a]), int(key[a]), np.array([s[a] for s in short]))
-                yield star(bucket[a + 1 : a + n], key[a + 1 : a + n], np.stack([s[a + 1 : a + n] for s in short], axis=1))
-                if i < len(sizes) - 1 or last:
-                    large = None
-            keep = 0 if last or not len(sizes) or sizes[-1] > LARGE else int(sizes[-1])
-            whole = np.repeat(sizes <= LARGE, sizes)
-            if keep:
-                whole[len(whole) - keep :] = False
-            held = tuple(x[len(x) - keep :] for x in (bucket, key, *short))
-            yield from small(bucket[whole], key[whole], np.stack([s[whole] for s in short], axis=1))
+        lead = tuple(np.empty(0, np.int64) for _ in range(3))
+        for b in batches:
+            bucket, key, short = (np.concatenate((x, b.column(j).to_numpy(zero_copy_only=False))) for j, x in enumerate(lead))
+            new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))
+            lead = tuple(x[first[-1] : first[-1] + 1] for x in (bucket, key, short))
+            at = np.flatnonzero(~new)
+            if len(at):
+                a = first[at]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(key[a]), pa.array(key[at]), pa.array(_near(short[a], short[at], threshold))], names=["bucket", "a", "b", "near"])
+
+    return bk.mapInArrow(run, "bucket bigint, a bigint, b bigint, near boolean")
+
 
+def _across(met: DataFrame, told: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that may reach the threshold and are in different components.
+
+    `told` has key, short and comp of each record. Members of a bucket are spread over parts of about CELL, and each
+    two parts meet in a cell of their own.
+    """
+    members = met.select("bucket", F.col("b").alias("key")).unionByName(met.select("bucket", F.col("a").alias("key")).distinct())
+    members = members.join(told, "key")
+    open_ = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("n > 2 and c1 < c2")
+    parts = F.ceil(F.col("n") / F.lit(CELL)).cast("bigint")
+    rows = members.join(open_.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cell = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    rows = rows.select(cell.alias("cell"), "key", "short", "comp", "part", (F.col("part") == F.col("other")).alias("own"))
+    rows = rows.repartition(partitions(met.sparkSession), "cell").sortWithinPartitions("cell", "key")
+
+    def compare(cell, key, short, comp, part, own) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        end = np.repeat(np.append(starts[1:], len(cell)), np.diff(np.append(starts, len(cell))))
+        at, k = np.arange(len(cell)), 1
+        while len(at := at[at + k < end[at]]):
+            # a part by itself is compared in its own cell only
+            x = at[(comp[at] != comp[at + k]) & ((part[at] != part[at + k]) | own[at])]
+            x = x[_near(short[x], short[x + k], threshold)]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[x + k])), pa.array(np.maximum(key[x], key[x + k]))], names=["a", "b"])
+            k += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for b in batches:
-            yield from cut(*(np.concatenate((h, b.column(j).to_numpy(zero_copy_only=False))) for j, h in enumerate(held)))
-        yield from cut(*held, last=True)
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last cell may go on in the next batch
+            if cut:
+                yield from compare(*(c[:cut] for c in cols))
+            held = [c[cut:] for c in cols]
+        if held is not None:
+            yield from compare(*held)
 
-    return bk.mapInArrow(run, "large boolean, near boolean, bucket bigint, a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _equal_share(a: str, b: str):
@@ -174,73 +176,13 @@ def _equal_share(a: str, b: str):
     return (F.lit(HASHES) - n) / F.lit(float(HASHES))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets' similarity is at least the threshold: estimated first, then exactly."""
-    one = sets.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"))
-    two = sets.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"))
-    near = pairs.join(one, "a").join(two, "b").where(_equal_share("sa", "sb") >= least_equal(threshold, HASHES))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return near.where(common >= F.lit(threshold) * (F.size("wa") + F.size("wb") - common)).select("a", "b")
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members (bucket, key, short, sig) packed by bucket into blocks of at most BLOCK: bucket, block, keys, sigs."""
-    rows = members.repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = 0
-        for b in batches:
-            bucket = b.column(0).to_numpy()
-            key = b.column(1).to_numpy()
-            sig = np.concatenate([b.column(j).flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1) for j in (2, 3)], axis=1)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            out: list[tuple] = []
-            for a, z in zip(cuts, cuts[1:]):
-                for at in range(a, z, BLOCK):
-                    end = min(z, at + BLOCK)
-                    out.append((int(bucket[at]), block, key[at:end].tobytes(), sig[at:end].tobytes()))
-                    block += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "sigs"])
-
-    return rows.mapInArrow(run, "bucket bigint, block bigint, keys binary, sigs binary")
-
-
-def _rest_of_large(large: DataFrame, links: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of large buckets that may reach the threshold, but for those of members both linked to the
-    bucket's least one, which are connected already.
-
-    The members that aren't linked to it are held against all of the bucket, block by block: a task gets two blocks
-    and gives the few pairs whose signatures are near enough. The blocks of a bucket are spread by salt.
-    """
-    sig = sigs.select("key", "short", "sig")
-    members = large.select("bucket", F.col("b").alias("key"), "a")
-    linked = links.select("a", F.col("b").alias("key"))
-    loose = members.join(linked, ["a", "key"], "left_anti").select("bucket", "key")
-    y = _blocks(members.select("bucket", "key").join(sig, "key").select("bucket", "key", "short", "sig"))
-    x = _blocks(loose.join(sig, "key").select("bucket", "key", "short", "sig"))
-    x = x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-    y = y.select("bucket", (F.col("block") % SALT).alias("salt"), F.col("keys").alias("keys2"), F.col("sigs").alias("sigs2"))
-    n_short, n_long = SHORT * BITS // 64, HASHES * BITS // 64
-    least, least_all = int(np.ceil(least_equal(threshold, SHORT) * SHORT)), int(np.ceil(least_equal(threshold, HASHES) * HASHES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                xk, yk = (np.frombuffer(b.column(j)[i].as_py(), np.int64) for j in (0, 2))
-                xs, ys = (np.frombuffer(b.column(j)[i].as_py(), np.int64).reshape(-1, n_short + n_long) for j in (1, 3))
-                for at in range(0, len(xk), 64):
-                    k = min(64, len(xk) - at)
-                    left = np.repeat(xs[at : at + k, :n_short], len(yk), axis=0)
-                    hit = np.flatnonzero(_equal_fields(left, np.tile(ys[:, :n_short], (k, 1))) >= least)
-                    p, q = at + hit // len(yk), hit % len(yk)
-                    p, q = p[xk[p] != yk[q]], q[xk[p] != yk[q]]
-                    if len(p):
-                        ok = _equal_fields(xs[p, n_short:], ys[q, n_short:]) >= least_all
-                        u, v = xk[p[ok]], yk[q[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
-
-    return x.join(y, ["bucket", "salt"]).select("keys", "sigs", "keys2", "sigs2").mapInArrow(run, "a bigint, b bigint").distinct()
+    side = lambda df, key, value: df.select(F.col("key").alias(key), F.col(value).alias(f"v{key}"))
+    near = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").where(_equal_share("va", "vb") >= least_equal(threshold, HASHES)).select("a", "b")
+    full = near.join(side(sets, "a", "words"), "a").join(side(sets, "b", "words"), "b")
+    common = F.size(F.array_intersect("va", "vb"))
+    return full.where(common >= F.lit(threshold) * (F.size("va") + F.size("vb") - common)).select("a", "b")
 
 
 def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
@@ -257,16 +199,16 @@ def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> D
     reps = src.df.groupBy("same").agg(F.min("key").alias("name"), F.count(F.lit(1)).alias("n_copies"), F.any_value("words").alias("words"))
     # numbers stand for the sets from here on; they are written once, so they stay the same
     reps = Written(reps.withColumn("key", F.monotonically_increasing_id()))
-    sig = signatures(reps.df.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "key", "h")
-    sig = Written(sig)
-    met = Written(met_pairs(sig.df, threshold))
-    sets_df = sig.df.select("key", "sig").join(reps.df.select("key", "words"), "key")
-    links = Written(verify(met.df.where("near").select("a", "b").distinct(), sets_df, threshold))
-    edges = links.df
-    large = met.df.where("large")
-    if large.limit(1).count():
-        edges = Written(edges.unionByName(verify(_rest_of_large(large, links.df, sig.df, threshold), sets_df, threshold))).df
-    comp = components(edges, "a", "b")
+    sig = Written(signatures(reps.df.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "key", "h"))
+    met = Written(stars(sig.df, threshold))
+    first = met.df.where("near").select("a", "b").distinct()
+    links = Written(verify(first, sig.df, reps.df, threshold))
+    told = sig.df.select("key", "short").join(components(links.df, "a", "b").withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    more = _across(met.df, told, threshold).join(first, ["a", "b"], "left_anti")
+    edges = Written(links.df.unionByName(verify(more, sig.df, reps.df, threshold)))
+    comp = components(edges.df, "a", "b")
+    for t in (sig, met, links, edges):
+        t.drop()
     told = reps.df.select("key", "same", "name", "n_copies").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     least = told.groupBy("c").agg(F.min("name").alias("group"))
     return src.df.select("key", "same").join(told.join(least, "c").select("same", "group", "n_copies"), "same").select(F.col("key").alias(key), "group", "n_copies")

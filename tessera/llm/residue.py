@@ -210,6 +210,8 @@ STEM_SHARE = 0.75
 
 #: A line belongs to a page template if at least this share of its occurrences stands beside proven page units.
 PAGE_SHARE = 0.9
+#: Or at least this share stands in texts that are furniture and repeated units only.
+BARE_SHARE = 0.5
 #: Words a template must have beside its slots for a unit with just these words to be one whose slots are blank.
 BLANK_WORDS = 3
 
@@ -476,14 +478,17 @@ def flag_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     repeated = cued.groupBy("h", "kind").agg((F.min("key") < F.max("key")).alias("aligned"))
     proven = Written(cued.join(repeated, ["h", "kind"]).where(F.col("aligned") | (F.col("rank") == KNOWN)).select("key", "kind", "aligned")).df
     pages = proven.select("key").distinct()
-    # lines that stand nearly only beside proven ones, in different places of several documents
-    beside = plain.join(pages, "key", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("a < b and x < y").select("h", "n")
-    everywhere = plain.join(beside, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n_all"))
-    page_lines = beside.join(everywhere, "h").where(F.col("n") >= PAGE_SHARE * F.col("n_all")).select("h")
-    lines = plain.join(page_lines, "h", "left_semi").join(pages, "key", "left_anti").select("key", F.lit(True).alias("aligned"))
     # texts of furniture and repeated units only
     furnished = plain.where("page").join(pages, "key", "left_anti").select("key", "h")
     met = plain.join(furnished.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h", F.lit(True).alias("again"))
-    bare = furnished.join(met, "h", "left").groupBy("key").agg(F.min(F.coalesce("again", F.lit(False))).alias("aligned")).where("aligned")
+    bare = Written(furnished.join(met, "h", "left").groupBy("key").agg(F.min(F.coalesce("again", F.lit(False))).alias("aligned")).where("aligned")).df
+    # lines of several such texts that stand mostly there, and lines that stand nearly only beside proven units, in
+    # different places of several documents
+    of_bare = furnished.join(bare, "key", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h", "n", F.lit(BARE_SHARE).alias("share"))
+    beside = plain.join(pages, "key", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("a < b and x < y")
+    told = Written(of_bare.unionByName(beside.select("h", "n", F.lit(PAGE_SHARE).alias("share")))).df
+    everywhere = plain.join(told.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n_all"))
+    page_lines = told.join(everywhere, "h").where(F.col("n") >= F.col("share") * F.col("n_all")).select("h").distinct()
+    lines = plain.join(page_lines, "h", "left_semi").join(pages, "key", "left_anti").select("key", F.lit(True).alias("aligned"))
     found = _of(slots, "template").unionByName(_of(blank, "template")).unionByName(proven).unionByName(_of(lines, "page")).unionByName(_of(bare, "page"))
     return found.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.when(F.max("aligned"), "aligned").otherwise("listed").alias("proof"))
