@@ -1,33 +1,45 @@
-"""Parent-child links to full hierarchies, in a number of rounds that grows with the logarithm of the depth.
+"""Parent-child links to full hierarchies by nested sets.
 
-Every round doubles the reach of each node's ancestor pointer. Upward, subtree sizes add up: the part of a subtree
-within twice the reach is the part within the reach, plus that of each node exactly one reach below. Nodes whose
-pointer never runs out are on or below a cycle. Downward, prefix sums of the sizes over siblings give each child its
-offset in the parent's preorder range, and the same doubling adds the offsets from the root, so that every node gets
-its nested-set range: [left, left + size).
+Upward, subtree sizes add up; downward, prefix sums of the sizes over siblings give each child its offset in the
+parent's preorder range, and the offsets from the root add up to each node's nested-set range [left, right). Both ways
+go in rounds that double the reach of each node's pointer, so their number grows with the logarithm of the depth, and
+rounds carry numbers only. Nodes whose pointer never runs out are left unprocessed: they are on or below a cycle.
+
+Ancestors and descendants then come from the ranges: nodes are cut by their left into chunks of CHUNK, each chunk gets
+the ranges that are open where it starts, and one pass in order of left keeps the open ranges on a stack. The stack at
+a node is its path; each node on it has this one as a descendant.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import Written
+from tessera.session import Written, partitions
 
-#: Parts of a sibling group in its prefix sum, so that no group is sorted in one task.
+#: Parts of a sibling group in its prefix sum (at least the shuffle partitions), so that no group is sorted in one task.
 SIBLING_PARTS = 64
+#: Nodes of a chunk of the preorder. More nodes make more chunks, not larger ones.
+CHUNK = 1 << 15
+#: Sizes and depths of nodes on cycles grow without end; they are held here.
+_ENDLESS = 1 << 50
 
 
-def _clean(df: DataFrame, node: str, parent: str) -> DataFrame:
+def _numbered(df: DataFrame, node: str, parent: str) -> tuple[Written, Written]:
+    """The nodes (node, parent, id) with their numbers, and the links (id, pid) between numbers; pid is null for roots."""
     rows = df.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where(F.col("node").isNotNull())
-    rows = rows.groupBy("node").agg(F.min("parent").alias("parent"))
-    known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    return rows.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    # written once, so the numbers stay the same
+    nodes = Written(rows.groupBy("node").agg(F.min("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()))
+    up = nodes.df.select(F.col("node").alias("parent"), F.col("id").alias("pid"))
+    return nodes, Written(nodes.df.join(up, "parent", "left").select("id", "pid"))
 
 
 def _sizes(links: DataFrame) -> Written:
-    """node, parent, depth, size, state: 'tree', 'cycle' or 'below'."""
-    cur = Written(links.select("node", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("size")))
+    """id, pid, size, state: 'tree', 'cycle' or 'below'."""
+    cur = Written(links.select("id", "pid", F.col("pid").alias("up"), F.lit(1).cast("bigint").alias("size")))
     left, ring, on_ring = -1, -1, None
     while True:
         # nodes whose pointer still leads somewhere, and the places those pointers lead to
@@ -37,86 +49,127 @@ def _sizes(links: DataFrame) -> Written:
             # all that is left is on or below cycles; the image stops shrinking once only cycle nodes are in it
             m = image.count() if n else 0
             if m == ring or n == 0:
-                on_ring = image.select(F.col("up").alias("node"), F.lit(True).alias("ring"))
+                on_ring = image.select(F.col("up").alias("id"), F.lit(True).alias("ring"))
                 break
             ring = m
         left = n
-        s = cur.df
-        ahead = s.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        nxt = (
-            s.join(image.withColumnRenamed("up", "node"), "node", "left")
-            .withColumn("size", F.least(F.col("size") + F.coalesce("below", F.lit(0)), F.lit(1 << 50)))
+        ahead = cur.df.where(F.col("up").isNotNull()).select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        new = Written(
+            cur.df.join(image.withColumnRenamed("up", "id"), "id", "left")
+            .withColumn("size", F.least(F.col("size") + F.coalesce("below", F.lit(0)), F.lit(_ENDLESS)))
             .drop("below")
             .join(ahead, "up", "left")
-            .select("node", "parent", F.col("up2").alias("up"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.least(F.col("depth") + F.col("depth2"), F.lit(1 << 50))).alias("depth"), "size")
+            .select("id", "pid", F.col("up2").alias("up"), "size")
         )
-        new = Written(nxt)
         cur.drop()
         cur = new
     state = F.when(F.col("up").isNull(), "tree").when(F.col("ring"), "cycle").otherwise("below")
-    out = Written(cur.df.join(on_ring, "node", "left").select("node", "parent", "depth", "size", state.alias("state")))
+    out = Written(cur.df.join(on_ring, "id", "left").select("id", "pid", "size", state.alias("state")))
     cur.drop()
     return out
 
 
-def _offsets(sized: DataFrame) -> DataFrame:
-    """Each tree node's offset in its parent's preorder range: 1 and the sizes of the siblings before it."""
-    kids = sized.where((F.col("state") == "tree") & F.col("parent").isNotNull()).select("node", "parent", "size", F.pmod(F.xxhash64("node"), F.lit(SIBLING_PARTS)).alias("part"))
-    sums = kids.groupBy("parent", "part").agg(F.sum("size").alias("s"))
-    before = sums.select("parent", "part", (F.sum("s").over(Window.partitionBy("parent").orderBy("part")) - F.col("s")).alias("base"))
-    inner = F.sum("size").over(Window.partitionBy("parent", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
-    return kids.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, ["parent", "part"]).select("node", (F.col("base") + F.col("inner") + 1).alias("off"))
+def _offsets(tree: DataFrame) -> DataFrame:
+    """Each tree node's offset in its parent's range: 1 and the sizes of the siblings before it. Roots are siblings, too, from 0."""
+    parts = max(SIBLING_PARTS, partitions(tree.sparkSession))
+    kids = tree.select("id", "pid", F.coalesce("pid", F.lit(-1)).alias("of"), "size", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    sums = kids.groupBy("of", "part").agg(F.sum("size").alias("s"))
+    before = sums.select("of", "part", (F.sum("s").over(Window.partitionBy("of").orderBy("part")) - F.col("s")).alias("base"))
+    inner = F.sum("size").over(Window.partitionBy("of", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    off = F.col("base") + F.coalesce("inner", F.lit(0)) + F.when(F.col("pid").isNull(), 0).otherwise(1)
+    return kids.withColumn("inner", inner).join(before, ["of", "part"]).select("id", F.col("pid").alias("up"), off.cast("bigint").alias("left"))
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, sep: str = "/") -> DataFrame:
-    """One row per node: node, parent, root, depth, size, state, left, right, path.
-
-    A node whose parent is null or no node is a root with depth 0 (callers turn blank parents into null). Tree nodes
-    have state 'tree', the nested-set range [left, right) inside their root's, and the path of nodes from the root.
-    Nodes on a cycle have state 'cycle', nodes below one 'below', both with null root, depth, range and path; a node
-    below a cycle has its own subtree's size. Repeated rows are one; of a node with several parents the least
-    counts. Null nodes are left out; an empty table gives no row. Other columns are not read.
-    """
-    sized = _sizes(_clean(df, node, parent))
+def nested_sets(links: DataFrame) -> tuple[DataFrame, Written]:
+    """(id, left, right) of each tree node, all trees in one numbering from 0 without gaps; and the sizes and states."""
+    sized = _sizes(links)
     tree = sized.df.where(F.col("state") == "tree")
-    # going down: acc is the offset from the pointer's node, path the nodes after it
-    cur = Written(
-        tree.join(_offsets(sized.df), "node", "left").select(
-            "node", F.col("parent").alias("up"), F.coalesce("off", F.lit(0)).cast("bigint").alias("left"), F.col("node").alias("path"), F.when(F.col("parent").isNull(), F.col("node")).alias("root")
-        )
-    )
+    cur = Written(_offsets(tree))
     while cur.df.where(F.col("up").isNotNull()).limit(1).count():
-        s = cur.df
-        ahead = s.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("left").alias("left2"), F.col("path").alias("path2"), F.col("root").alias("root2"))
-        new = Written(
-            s.join(ahead, "up", "left").select(
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"),
-                F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws(sep, "path2", "path")).alias("path"),
-                F.coalesce("root", "root2").alias("root"),
-            )
-        )
+        ahead = cur.df.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("left").alias("left2"))
+        new = Written(cur.df.join(ahead, "up", "left").select("id", F.col("up2").alias("up"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")))
         cur.drop()
         cur = new
-    return (
-        sized.df.join(cur.df.select("node", "root", "left", "path"), "node", "left")
-        .select(
-            F.col("node").alias(node),
-            F.col("parent").alias(parent),
-            "root",
-            F.when(F.col("state") == "tree", F.col("depth")).alias("depth"),
-            F.when(F.col("state") != "cycle", F.col("size")).alias("size"),
-            "state",
-            "left",
-            (F.col("left") + F.col("size")).alias("right"),
-            "path",
-        )
-    )
+    return cur.df.join(tree.select("id", "size"), "id").select("id", "left", (F.col("left") + F.col("size")).alias("right")), sized
+
+
+def _sweep(ranges: DataFrame, run, schema: str) -> DataFrame:
+    """`run` over the chunks' rows (chunk, inside, left, right, node) in order: first the ranges open where a chunk starts."""
+    first = F.expr(f"left div {CHUNK}")
+    own = ranges.select(first.alias("chunk"), F.lit(True).alias("inside"), "left", "right", "node")
+    last = F.expr(f"(right - 1) div {CHUNK}")
+    open_ = ranges.where(last > first).select(F.explode(F.sequence(first + 1, last)).alias("chunk"), F.lit(False).alias("inside"), "left", "right", "node")
+    rows = own.unionByName(open_).repartition(partitions(ranges.sparkSession), "chunk").sortWithinPartitions("chunk", "left")
+    return rows.mapInArrow(run, schema)
+
+
+def _stacks(batches: Iterator[pa.RecordBatch]):
+    """(node, stack of open nodes with it on top) of each node, as batches are read; None after each batch."""
+    chunk, rights, stack = None, [], []
+    for b in batches:
+        for c, inside, left, right, node in zip(*(x.to_pylist() for x in b.columns)):
+            if c != chunk:
+                chunk, rights, stack = c, [], []
+            while rights and rights[-1] <= left:
+                rights.pop()
+                stack.pop()
+            rights.append(right)
+            stack.append(node)
+            if inside:
+                yield node, stack
+        yield None
+
 
+def hierarchy(df: DataFrame, node: str, parent: str, sep: str = "/") -> DataFrame:
+    """One row per node: node, parent, root, depth, size, state, left, right, path.
 
-def descendants(nodes: DataFrame, of: DataFrame, node: str) -> DataFrame:
-    """Pairs (ancestor, node) for the ancestors named in `of`: one range test on the nested sets of `hierarchy`."""
-    a = nodes.join(of.select(node).distinct(), node, "left_semi").where(F.col("state") == "tree")
-    a = a.select(F.col(node).alias("ancestor"), "root", F.col("left").alias("_l"), F.col("right").alias("_r"))
-    return nodes.join(a, "root").where((F.col("left") > F.col("_l")) & (F.col("left") < F.col("_r"))).select("ancestor", node)
+    A node whose parent is null or no node is a root with depth 0 (callers turn blank parents into null). Tree nodes
+    have state 'tree' and the nested-set range [left, right) in one numbering of all trees; root, depth and path (the
+    nodes from the root, joined) are read off the ranges. Nodes on a cycle have state 'cycle', nodes below one 'below',
+    both with null root, depth, range and path; a node below a cycle has its own subtree's size. Repeated rows are one;
+    of a node with several parents the least counts. Null nodes are left out; an empty table gives no row. Other
+    columns are not read.
+    """
+    nodes, links = _numbered(df, node, parent)
+    sets, sized = nested_sets(links.df)
+    told = Written(nodes.df.join(sized.df.drop("pid"), "id").join(sets, "id", "left"))
+    for t in (nodes, links, sized):
+        t.drop()
+    kind = df.schema[node].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for x in _stacks(batches):
+            if x is not None:
+                out.append((x[0], x[1][0], len(x[1]) - 1, sep.join(map(str, x[1]))))
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["node", "root", "depth", "path"])
+                out = []
+
+    above = _sweep(told.df.where("state = 'tree'"), run, f"node {kind}, root {kind}, depth bigint, path string")
+    # one join brings the rest of each row; the sweep moves only what it needs
+    return told.df.join(above, "node", "left").select(
+        F.col("node").alias(node), F.col("parent").alias(parent) if parent != node else F.col("parent"), "root", "depth", F.when(F.col("state") != "cycle", F.col("size")).alias("size"), "state", "left", "right", "path"
+    )
+
+
+def descendants(nodes: DataFrame, node: str) -> DataFrame:
+    """All pairs (ancestor, node, distance) of the tree nodes of `hierarchy`, from their ranges. There are as many as the sum of all depths."""
+    kind = nodes.schema[node].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: list = []
+        down: list = []
+        far: list[int] = []
+        for x in _stacks(batches):
+            if x is not None:
+                n = len(x[1]) - 1
+                up.extend(x[1][:n])
+                down.extend([x[0]] * n)
+                far.extend(range(n, 0, -1))
+            if up and (x is None or len(up) > 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(down), pa.array(far, pa.int64())], names=["ancestor", "node", "distance"])
+                up, down, far = [], [], []
+
+    tree = nodes.where(F.col("state") == "tree").select("left", "right", F.col(node).alias("node"))
+    return _sweep(tree, run, f"ancestor {kind}, node {kind}, distance bigint")

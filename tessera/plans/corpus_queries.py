@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm_id, norm_name, trim_all
-from tessera.operators.hierarchy import hierarchy
+from tessera.operators.hierarchy import descendants, hierarchy
 from tessera.operators.nested import shred, subtype_table, variants
 from tessera.operators.ordinals import compare
 from tessera.operators.packed_fields import choose_dialects, split_packed
@@ -168,7 +168,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_cdg_ports, p2_streams, p2_variants, p3_found, p3_manifest_vs_last_snapshot, p5_found, p6_found, p6_report, p7_found)}
+def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Each node of a tree with all nodes below it and how far down they are."""
+    return descendants(_hierarchy(spark, d), "node_id").withColumnsRenamed({"ancestor": "node_id", "node": "descendant_id"})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_cdg_ports, p2_streams, p2_variants, p3_found, p3_manifest_vs_last_snapshot, p5_found, p6_found, p6_report, p7_found, p7_descendants)}
 
 _T = lambda c: rf"regexp_replace({c}, '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')"
 _N = lambda c: f"nullif(lower({_T(c)}), '')"
@@ -231,4 +236,10 @@ SELECT e.node_id, coalesce(t.root_id, '') AS root_id,
   CAST(CASE WHEN t.node_id IS NOT NULL THEN t.depth WHEN ring.node_id IS NOT NULL THEN -1 ELSE -2 END AS BIGINT) AS depth,
   CAST(CASE WHEN ring.node_id IS NOT NULL THEN -1 ELSE coalesce(below.n, 0) END AS BIGINT) AS n_descendants, coalesce(t.path, '') AS path
 FROM e LEFT JOIN t USING (node_id) LEFT JOIN ring USING (node_id) LEFT JOIN below USING (node_id)""",
+    "p7_descendants": f"""
+WITH RECURSIVE n AS (SELECT DISTINCT node_id, nullif({_T('parent_id')}, '') parent_id FROM cdg_nodes),
+ e AS (SELECT n.node_id, p.node_id AS parent_id FROM n LEFT JOIN n p ON p.node_id = n.parent_id),
+ t AS (SELECT node_id, [node_id] AS way FROM e WHERE parent_id IS NULL
+       UNION ALL SELECT e.node_id, list_append(t.way, e.node_id) FROM e JOIN t ON e.parent_id = t.node_id)
+SELECT way[i] AS node_id, t.node_id AS descendant_id, CAST(len(way) - i AS BIGINT) AS distance FROM t, range(1, len(way)) r(i)""",
 }
