@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import norm_id, norm_name, trim_all
 from tessera.operators.hierarchy import descendants, hierarchy
-from tessera.operators.nested import shred, subtype_table, variants
+from tessera.operators.nested import shred, shred_typed, subtype_table, variants
 from tessera.operators.ordinals import compare
 from tessera.operators.packed_fields import choose_dialects, split_packed
 from tessera.operators.reconcile import diff_copies
@@ -41,30 +41,42 @@ def _latest_runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pipeline_runs").where(F.col("run_id").isNotNull()).groupBy("run_id").agg(last).select("run_id", "_l.stages", "_l.metadata")
 
 
+#: Subtypes of the objects that the nested columns hold.
+EVIDENCE = {"heuristic": {"supported_action_classes": None}, "entry": {"heuristic": "heuristic"}, "payload": {"heuristics": "entry"}}
+STREAM = {"stream": {"stream_id": None}}
+STAGES = {"stage": {"name": None}}
+PORT = {"port": {"name": None}}
+
+
+def _row(source: str, record: str, child: str, parent_pos: Column, pos: Column, item: Column) -> list[Column]:
+    return [F.lit(source).alias("source_table"), F.col(record).alias("record_id"), F.lit(child).alias("child"), parent_pos.alias("parent_pos"), pos.alias("pos"), item.alias("item")]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(-1).cast("bigint")
-    pick = lambda src, rid, child, pp, pos, item: [F.lit(src).alias("source_table"), F.col(rid).alias("record_id"), F.lit(child).alias("child"), pp.alias("parent_pos"), pos.alias("pos"), item.alias("item")]
-    ev = shred(table(spark, d, "runtime_evidence"), ["evidence_id"], "payload", ("heuristics",))
-    path = r"^heuristics(?:\[(\d+)\])?\.heuristic\.supported_action_classes(?:\[(\d+)\])?$"
-    at = lambda g: F.coalesce(F.nullif(F.regexp_extract("path", path, g), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
-    actions = ev.where(F.col("path").rlike(path) & F.col("value").isNotNull()).select(*pick("runtime_evidence", "evidence_id", "action_class", at(1), at(2), F.col("value")))
-    cdg = table(spark, d, "cdg_nodes").select("node_id", F.posexplode("inputs").alias("_p", "_e")).where(F.col("_e.name").isNotNull())
-    inputs = cdg.select(*pick("cdg_nodes", "node_id", "input", none, F.col("_p").cast("bigint"), F.col("_e.name")))
+    # the classes of the heuristics in the entries of the payloads; a single one in place of a list is a list of one
+    route = "/payload.heuristics/entry.heuristic/heuristic.supported_action_classes"
+    at = lambda i: F.greatest(F.col("places")[i], F.lit(0)).cast("bigint")
+    ev = shred(table(spark, d, "runtime_evidence"), ["evidence_id"], "payload", ("heuristics",), EVIDENCE, (route,), scalars=True)
+    actions = ev.where(F.col("value").isNotNull()).select(*_row("runtime_evidence", "evidence_id", "action_class", at(0), at(2), F.col("value")))
+    ports = shred_typed(table(spark, d, "cdg_nodes"), ["node_id"], "inputs", PORT).where("subtype = 'port'")
+    inputs = ports.select(*_row("cdg_nodes", "node_id", "input", none, F.col("pos").cast("bigint"), F.col("_e.name")))
     runs = _latest_runs(spark, d)
-    st = shred(runs, ["run_id"], "stages")
-    by_key = st.where((F.col("level") == 1) & F.col("key").isNotNull()).select("run_id", F.col("key").alias("name"))
-    by_name = st.where((F.col("level") == 2) & (F.col("key") == "name") & F.col("parent_path").rlike(r"^\[\d+\]$") & F.col("value").isNotNull()).select("run_id", F.col("value").alias("name"))
-    stages = by_key.unionByName(by_name).select(*pick("pipeline_runs", "run_id", "stage", none, none, F.col("name")))
-    md = shred(runs, ["run_id"], "metadata").where((F.col("level") > 0) & ~F.col("kind").isin("object", "list"))
-    metadata = md.select(*pick("pipeline_runs", "run_id", "metadata", none, none, F.col("path")))
+    # stages by name: the members of the top object, or the names of the stages in the top list
+    st = shred(runs, ["run_id"], "stages", rules=STAGES)
+    by_key = st.where("level = 1 and key is not null").select("run_id", F.col("key").alias("name"))
+    by_name = st.where("level = 2 and owner = 'stage' and key = 'name' and value is not null and places[0] >= 0").select("run_id", F.col("value").alias("name"))
+    stages = by_key.unionByName(by_name).select(*_row("pipeline_runs", "run_id", "stage", none, none, F.col("name")))
+    md = shred(runs, ["run_id"], "metadata", scalars=True).where("level > 0")
+    metadata = md.select(*_row("pipeline_runs", "run_id", "metadata", none, none, F.col("path")))
     return actions.unionByName(inputs).unionByName(stages).unionByName(metadata).where(F.col("record_id").isNotNull()).distinct()
 
 
 def p2_cdg_ports(spark: SparkSession, d: str) -> DataFrame:
     """The typed table of all ports, with the link to their node."""
     parts = [
-        table(spark, d, "cdg_nodes").select("node_id", F.lit(side).alias("side"), F.posexplode(side).alias("pos", "_e")).where(F.col("_e").isNotNull())
-        .select("node_id", "side", F.col("pos").cast("bigint").alias("pos"), "_e.name", "_e.type_desc", "_e.constraints", "_e.data_kind", "_e.required", "_e.default_value_repr")
+        shred_typed(table(spark, d, "cdg_nodes"), ["node_id"], side, {})
+        .select("node_id", F.lit(side).alias("side"), F.col("pos").cast("bigint").alias("pos"), "_e.name", "_e.type_desc", "_e.constraints", "_e.data_kind", "_e.required", "_e.default_value_repr")
         for side in ("inputs", "outputs")
     ]
     return parts[0].unionByName(parts[1]).distinct()
@@ -73,13 +85,13 @@ def p2_cdg_ports(spark: SparkSession, d: str) -> DataFrame:
 def p2_streams(spark: SparkSession, d: str) -> DataFrame:
     """The typed table of the streams inside evidence payloads."""
     ev = table(spark, d, "runtime_evidence").select("evidence_id", "payload").distinct()
-    nodes = shred(ev, ["evidence_id"], "payload", ("canonical_runtime_context",))
-    return subtype_table(nodes, ["evidence_id"], {"stream_id": "string", "data_kind": "string", "sampling_rate": "double"}).where(F.col("stream_id").isNotNull()).select("evidence_id", "path", "parent_path", F.col("pos").cast("bigint").alias("pos"), "stream_id", "data_kind", "sampling_rate")
+    nodes = shred(ev, ["evidence_id"], "payload", ("canonical_runtime_context",), STREAM)
+    return subtype_table(nodes, ["evidence_id"], "stream", {"stream_id": "string", "data_kind": "string", "sampling_rate": "double"}).where(F.col("stream_id").isNotNull()).withColumn("pos", F.col("pos").cast("bigint")).drop("state")
 
 
 def p2_variants(spark: SparkSession, d: str) -> DataFrame:
-    """The object variants of run metadata: state, count, an example's path."""
-    return variants(shred(_latest_runs(spark, d), ["run_id"], "metadata"))
+    """The object variants of evidence payloads: state, subtype, count, an example's path."""
+    return variants(shred(table(spark, d, "runtime_evidence"), ["evidence_id"], "payload", rules=EVIDENCE))
 
 
 # --- 3: two copies

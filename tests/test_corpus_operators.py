@@ -6,7 +6,7 @@ import json
 import pytest
 
 from tessera.operators.hierarchy import descendants, hierarchy
-from tessera.operators.nested import shred, subtype_table, variants
+from tessera.operators.nested import shred, shred_typed, subtype_table, variants
 from tessera.operators.ordinals import Bitmap
 from tessera.operators.packed_fields import split_packed
 from tessera.operators.reconcile import diff_copies
@@ -79,10 +79,55 @@ def test_shred(spark):
     assert by_path[1, "a.b[0]"].state != by_path[1, "a.b[1]"].state  # number and null members are other shapes
     v = variants(shred(df, ["id"], "payload")).collect()
     assert sum(r.n for r in v) == sum(r.kind == "object" for r in rows)
-    t = subtype_table(shred(df, ["id"], "payload"), ["id"], {"c": "int"}).collect()
+    rules = {"leaf": {"c": None}, "top": {"a": None}}
+    t = subtype_table(shred(df, ["id"], "payload", rules=rules), ["id"], "leaf", {"c": "int"}).collect()
     assert [(r.path, r.parent_path, r.c) for r in sorted(t, key=lambda r: r.path)] == [("a.b[0]", "a.b", 1), ("a.b[1]", "a.b", None)]
 
 
+def test_rows_are_routed_by_state(spark):
+    rules = {"leaf": {"tags": None}, "entry": {"leaf": "leaf"}, "payload": {"runs": "entry"}}
+    docs = {
+        1: {"runs": [{"leaf": {"tags": ["a", "b"]}}, {"leaf": {"other": ["no"]}}, None, {"leaf": {"tags": "c"}}]},
+        2: {"runs": {"leaf": json.dumps({"tags": {"x": 1}})}},
+        3: {"runs": {"leaf": json.dumps(json.dumps(json.dumps({"tags": ["d"]})))}},
+        4: {"other": {"leaf": {"tags": ["no"]}}},
+        5: {"runs": [[{"leaf": {"tags": ["nested"]}}]]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "id int, payload string")
+    route = "/payload.runs/entry.leaf/leaf.tags"
+    got = {(r.id, r.places[0], r.places[2], r.value) for r in shred(df, ["id"], "payload", rules=rules, routes=(route,), scalars=True).collect()}
+    assert got == {(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 3, -1, "c"), (3, -1, 0, "d")}
+    other = {(r.id, r.route) for r in shred(df, ["id"], "payload", rules=rules, scalars=True).collect() if r.value == "no" or r.value == "nested"}
+    assert other == {(1, "/payload.runs/None.leaf/None.other"), (4, "/None.other/entry.leaf/leaf.tags"), (5, "/payload.runs[]/entry.leaf/leaf.tags")}
+
+
+def test_json_of_any_depth(spark):
+    from tessera.operators.nested import _deep, parse
+
+    for text in ('{"a": [1, {"b": null}, []], "c": {}}', "[ ]", "3", ' {"x" : "y" , "z":[true,false] } '):
+        assert _deep(text) == json.loads(text)
+    for text in ('{"a" 1}', "[1,]", "[1 2]", '{"a": 1,}', "", "[", "{1: 2}", "[] x"):
+        with pytest.raises((ValueError, StopIteration)):
+            _deep(text)
+    n = 100_000
+    ok, v = parse("[" * n + "1" + "]" * n)
+    assert ok
+    wrapped = json.dumps({"a": 1})
+    for _ in range(12):  # each round doubles the escapes, none is a limit
+        wrapped = json.dumps(wrapped)
+    assert parse(wrapped) == (True, {"a": 1})
+    df = spark.createDataFrame([(1, '{"a":' * 3000 + "7" + "}" * 3000)], "id int, j string")
+    assert [r.value for r in shred(df, ["id"], "j", scalars=True).collect()] == ["7"]
+
+
+def test_shred_typed(spark):
+    s = "id int, ports array<struct<name string, kind string>>"
+    df = spark.createDataFrame([(1, [("a", None), None, (None, "k"), ("b", "k")]), (2, None), (3, [])], s)
+    rows = shred_typed(df, ["id"], "ports", {"port": {"name": None}}).collect()
+    assert [(r.id, r.pos, r.subtype, r._e.name) for r in rows] == [(1, 0, "port", "a"), (1, 2, None, None), (1, 3, "port", "b")]
+    assert len({r.state for r in rows}) == 3
+
+
 def test_bitmap():
     np = pytest.importorskip("numpy")
     r = np.random.default_rng(0)
@@ -94,6 +139,50 @@ def test_bitmap():
             assert list(x.both(y)) == list(np.flatnonzero(a & b))
 
 
+def test_ordinals_persist(spark, tmp_path):
+    from tessera.operators import ordinals
+    from tessera.operators.ordinals import Dictionary
+
+    d = Dictionary(spark, f"file://{tmp_path}/d", "string")
+    one = {r.k: r._ord for r in d.extend(spark.createDataFrame([(f"k{i}",) for i in range(500)], "k string").repartition(5), "k").collect()}
+    assert sorted(one.values()) == list(range(500))
+    two = {r.k: r._ord for r in d.extend(spark.createDataFrame([(f"k{i}",) for i in range(300, 800)], "k string"), "k").collect()}
+    assert all(two[k] == one[k] for k in two if k in one) and sorted(one | two, key=(one | two).get)[:500] == sorted(one, key=one.get)
+    assert sorted((one | two).values()) == list(range(800))
+    assert d.extend(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def test_snapshots_over_one_dictionary(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from tessera.operators import ordinals
+
+    monkeypatch.setattr(ordinals, "WIDTH", 3)  # more dates than one run takes
+    monkeypatch.setattr("tessera.operators.snapshots.WIDTH", 3)
+    r, day = __import__("random").Random(4), lambda i: dt.date(2024, 1, 1 + i)
+    state: dict = {}
+    rows, want = [], set()
+    for i in range(7):
+        old = dict(state)
+        for k in range(60):
+            x = r.random()
+            if x < 0.1:
+                state.pop(k, None)
+            elif x < 0.3:
+                state[k] = r.choice([None, "a", "b"])
+        rows += [(day(i), 1, k, v) for k, v in state.items()]
+        if i:
+            want |= {(day(i), k, "added", "") for k in state.keys() - old.keys()} | {(day(i), k, "removed", "") for k in old.keys() - state.keys()} | {(day(i), k, "changed", "v") for k in old.keys() & state.keys() if old[k] != state[k]}
+    df = spark.createDataFrame(rows, "d date, at int, k int, v string")
+    path = f"file://{tmp_path}/d"
+    got = lambda x: {tuple(r) for r in snapshot_changes(x, "d", "at", "k", ["v"], path).collect()}
+    assert got(df.where(f"d <= '{day(3)}'")) == {w for w in want if w[0] <= day(3)}
+    first = {r.key: r.ordinal for r in spark.read.parquet(path).collect()}
+    assert got(df) == want
+    later = {r.key: r.ordinal for r in spark.read.parquet(path).collect()}
+    assert later.items() >= first.items() and sorted(later.values()) == list(range(len(later)))
+
+
 def test_diff_copies(spark):
     s = "id string, v string, w int, side string"
     left = spark.createDataFrame([("a", "1", 1, "x"), ("b", "1", None, "x"), ("c", None, 3, "x"), ("c", None, 3, "y"), ("d", "1", 1, "x"), (None, "1", 1, "x"), ("e", "1", None, "x")], s)
