@@ -29,6 +29,8 @@ BANDS, ROWS, BITS = 48, 6, 2
 HASHES = BANDS * ROWS
 #: Single bits that travel with the band keys: of every HASHES / SHORT-th minimum.
 SHORT = 64
+#: Longs of a signature that travel to the cells, where members of a bucket are compared with each other.
+WIDE = 4
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 #: Members of a bucket that a cell compares on either side. More members make more cells, not larger ones.
@@ -102,6 +104,16 @@ def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)) <= SHORT - int(np.ceil(least_equal(threshold, SHORT, 1) * SHORT))
 
 
+def _near_wide(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], threshold: float) -> np.ndarray:
+    """The same by WIDE longs of the packed signatures."""
+    fields = WIDE * 64 // BITS
+    equal = np.zeros(len(x[0]), np.int64)
+    for a, b in zip(x, y):
+        d = (a ^ b).view(np.uint64)
+        equal += 64 // BITS - np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    return equal >= int(np.ceil(least_equal(threshold, fields) * fields))
+
+
 def stars(sigs: DataFrame, threshold: float) -> DataFrame:
     """Rows (bucket, a, b, near): each member b of a bucket but its least one, a; near if their bits may reach the threshold.
 
@@ -128,7 +140,7 @@ def stars(sigs: DataFrame, threshold: float) -> DataFrame:
 def _across(met: DataFrame, told: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members of one bucket that may reach the threshold and are in different components.
 
-    `told` has key, short and comp of each record. Members of a bucket are spread over parts of about CELL, and each
+    `told` has key, sig and comp of each record. Members of a bucket are spread over parts of about CELL, and each
     two parts meet in a cell of their own.
     """
     members = met.select("bucket", F.col("b").alias("key")).unionByName(met.select("bucket", F.col("a").alias("key")).distinct())
@@ -138,17 +150,18 @@ def _across(met: DataFrame, told: DataFrame, threshold: float) -> DataFrame:
     rows = members.join(open_.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     cell = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-    rows = rows.select(cell.alias("cell"), "key", "short", "comp", "part", (F.col("part") == F.col("other")).alias("own"))
+    wide = [F.col("sig")[i].alias(f"w{i}") for i in range(WIDE)]
+    rows = rows.select(cell.alias("cell"), "key", "comp", "part", (F.col("part") == F.col("other")).alias("own"), *wide)
     rows = rows.repartition(partitions(met.sparkSession), "cell").sortWithinPartitions("cell", "key")
 
-    def compare(cell, key, short, comp, part, own) -> Iterator[pa.RecordBatch]:
+    def compare(cell, key, comp, part, own, *sig) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         end = np.repeat(np.append(starts[1:], len(cell)), np.diff(np.append(starts, len(cell))))
         at, k = np.arange(len(cell)), 1
         while len(at := at[at + k < end[at]]):
             # a part by itself is compared in its own cell only
             x = at[(comp[at] != comp[at + k]) & ((part[at] != part[at + k]) | own[at])]
-            x = x[_near(short[x], short[x + k], threshold)]
+            x = x[_near_wide(tuple(w[x] for w in sig), tuple(w[x + k] for w in sig), threshold)]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[x + k])), pa.array(np.maximum(key[x], key[x + k]))], names=["a", "b"])
             k += 1
@@ -203,7 +216,7 @@ def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> D
     met = Written(stars(sig.df, threshold))
     first = met.df.where("near").select("a", "b").distinct()
     links = Written(verify(first, sig.df, reps.df, threshold))
-    told = sig.df.select("key", "short").join(components(links.df, "a", "b").withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    told = sig.df.select("key", "sig").join(components(links.df, "a", "b").withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     more = _across(met.df, told, threshold).join(first, ["a", "b"], "left_anti")
     edges = Written(links.df.unionByName(verify(more, sig.df, reps.df, threshold)))
     comp = components(edges.df, "a", "b")
