@@ -88,14 +88,20 @@ def histogram(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
 
 
 def smallest_prime(c: Column, n_primes: int = 100) -> Column:
-    """The least of the first primes that divides a number of at least 2, null if none does."""
+    """The least of the first primes that divides a number and is smaller than it, 0 if none; a number below 2 itself."""
     primes: list[int] = []
     x = 2
     while len(primes) < n_primes:
         if all(x % p for p in primes if p * p <= x):
             primes.append(x)
         x += 1
-    return F.array_min(F.filter(F.array(*map(F.lit, primes)), lambda p: (c >= 2) & (c % p == 0)))
+    return F.when(c < 2, c).otherwise(F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, primes)), lambda p: (p < c) & (c % p == 0))), F.lit(0)))
+
+
+def midpoint(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Whether lo + hi passes the largest 64-bit integer, and the midpoint taken without it. lo is not above hi."""
+    top = F.lit((1 << 63) - 1)
+    return (lo > 0) & (hi > top - F.greatest(lo, F.lit(0))), lo + F.shiftright(hi - lo, 1)
 
 
 def alphabet(df: DataFrame, group: str, text: str, pattern: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,27 +17,52 @@ def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return o.unionByName(i).groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
+def _anchors(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, anchor, dist, done): the nearest node upward that has not just one predecessor, in rounds that double the reach.
+
+    Nodes that are not done are on a cycle of nodes with one predecessor each, or behind it.
+    """
+    single = e.groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).where("n = 1").select("node", "s")
+    far = F.when(F.col("s").isNull(), 0).otherwise(1).cast("bigint")
+    cur = Written(nodes.join(single, "node", "left").select("node", F.coalesce("s", "node").alias("anchor"), far.alias("dist"), F.col("s").isNull().alias("done")))
+    left = -1
+    while (n := cur.df.where("not done").count()) not in (0, left):
+        left = n
+        ahead = cur.df.select(F.col("node").alias("anchor"), F.col("anchor").alias("a2"), F.col("dist").alias("d2"), F.col("done").alias("done2"))
+        moved = cur.df.where("not done").join(ahead, "anchor").select("node", F.col("a2").alias("anchor"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done"))
+        new = Written(cur.df.where("done").unionByName(moved))
+        cur.drop()
+        cur = new
+    return cur.df
+
+
 def topo_levels(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, level): the longest way from a node without predecessors; null for nodes on or behind a cycle.
 
-    Each round takes the nodes all of whose predecessors are placed, so rounds grow with the longest way. Only the
-    counts of a round come to the driver.
+    Runs of nodes with one predecessor each are jumped in a number of rounds that grows with the logarithm of their
+    length. What is left are nodes where ways meet; each further round takes those all of whose predecessors are
+    placed and writes only the ones that still wait. Only counts come to the driver.
     """
-    e = Written(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct())
-    nodes = e.df.select(F.col("s").alias("node")).unionByName(e.df.select(F.col("d").alias("node"))).distinct()
-    waits = e.df.groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    cur = Written(nodes.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.when(F.col("waits").isNull(), 0).alias("level")))
-    level = 0
+    e = Written(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct()).df
+    nodes = e.select(F.col("s").alias("node")).unionByName(e.select(F.col("d").alias("node"))).distinct()
+    near = _anchors(e, nodes)
+    meets = e.groupBy("d").agg(F.count(F.lit(1)).alias("waits")).where("waits > 1")
+    # ways between the nodes that are left; one from a node behind a cycle is never walked, so its end waits for ever
+    ways = e.join(meets.select("d"), "d", "left_semi").join(near.where("done").withColumnRenamed("node", "s"), "s").select(F.col("anchor").alias("s"), "d", (F.col("dist") + 1).alias("w"))
+    ways = Written(ways.groupBy("s", "d").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))).df
+    front = near.where("done and dist = 0").select(F.col("node").alias("s")).join(meets.select(F.col("d").alias("s")), "s", "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    placed = [front]
+    wait = meets.select("d", "waits", F.lit(None).cast("bigint").alias("level"))
     while True:
-        done = cur.df.where(F.col("level") == level).select(F.col("node").alias("s"))
-        freed = e.df.join(done, "s", "left_semi").groupBy(F.col("d").alias("node")).agg(F.count(F.lit(1)).alias("freed"))
-        left = F.col("waits") - F.coalesce("freed", F.lit(0))
-        new = Written(cur.df.join(freed, "node", "left").select("node", left.alias("waits"), F.when(F.col("level").isNotNull(), F.col("level")).when((left == 0) & F.col("freed").isNotNull(), level + 1).alias("level")))
-        cur.drop()
-        cur = new
-        level += 1
-        if not cur.df.where(F.col("level") == level).limit(1).count():
-            return cur.df.select("node", F.col("level").cast("bigint").alias("level"))
+        got = ways.join(front, "s").groupBy("d").agg(F.sum("n").alias("freed"), F.max(F.col("level") + F.col("w")).alias("far"))
+        step = Written(wait.join(got, "d", "left").select("d", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), F.greatest("level", "far").alias("level")))
+        front = step.df.where("waits = 0").select(F.col("d").alias("s"), "level")
+        if not front.limit(1).count():
+            break
+        placed.append(front)
+        wait = step.df.where("waits > 0")
+    known = functools.reduce(DataFrame.unionByName, placed).select(F.col("s").alias("anchor"), "level")
+    return near.join(known, "anchor", "left").select("node", F.when(F.col("done"), F.col("level") + F.col("dist")).alias("level"))
 
 
 def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -76,6 +103,21 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def similar_profiles(profiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of child profiles above a similarity (`list_similarity`), the first asked for by a node with `asks`.
+
+    Columns: query_profile, profile, n_queries, n_nodes, similarity, set_similarity. Nodes of equal profile are one
+    row from the start; profiles meet through the concepts they share.
+    """
+    c = profiles.groupBy(F.array_join("concepts", "|").alias("profile"), "concepts").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(F.col("asks"), 1)).alias("n_queries"))
+    # each pair meets once, by its least common concept
+    one = c.where("n_queries > 0").select(F.col("profile").alias("query_profile"), F.col("concepts").alias("qc"), "n_queries", F.explode(F.array_distinct("concepts")).alias("_c"))
+    two = c.select("profile", "concepts", "n_nodes", F.explode(F.array_distinct("concepts")).alias("_c"))
+    met = one.join(two, "_c").where(F.col("_c") == F.array_min(F.array_intersect("qc", "concepts")))
+    s = met.withColumn("similarity", list_similarity(F.col("qc"), F.col("concepts"))).where(F.col("similarity") > threshold)
+    return s.withColumn("set_similarity", set_similarity(F.col("qc"), F.col("concepts"))).drop("qc", "concepts", "_c")
+
+
 def structure_hash(nodes: DataFrame, node: str, parent: str, concept: str) -> DataFrame:
     """Hash of each parent's children by concept, the same for equal structures."""
     return child_profile(nodes, node, parent, concept).select("node", F.substring(F.sha2(F.array_join("concepts", "|"), 256), 1, 16).alias("topo_hash"), "n_children")

@@ -83,11 +83,16 @@ def histogram_closed(spark, d):
     return catalog.histogram(table(spark, d, "events"), "event_type", "value", 10)
 
 
-@query("SELECT benchmark_name, " + ", ".join(f"round(avg(metric_value) FILTER (dataset_tag = '{t}'), 9) AS {t}" for t in ("clean", "high_noise", "long_window")) + " FROM benchmarks WHERE isfinite(metric_value) GROUP BY 1")
+#: The data sets' tags; '' is a tag of its own.
+_TAGS = {"clean": "clean", "heavy_nonlinearity": "heavy_nonlinearity", "high_noise": "high_noise", "long_window": "long_window", "missing_blocks": "missing_blocks", "mixed_rate": "mixed_rate", "noisy": "noisy", "short_window": "short_window", "": "untagged"}
+
+
+@query("SELECT benchmark_name, " + ", ".join(f"round(avg(metric_value) FILTER (dataset_tag = '{t}'), 9) AS {n}" for t, n in _TAGS.items()) + f", count(*) FILTER (dataset_tag IS NULL OR dataset_tag NOT IN ({', '.join(repr(t) for t in _TAGS)})) AS n_other FROM benchmarks WHERE isfinite(metric_value) GROUP BY 1")
 def variant_pivot(spark, d):
+    """One column per tag; rows with any other tag are counted, so none is lost."""
     b = table(spark, d, "benchmarks").where("NOT isnan(metric_value) AND abs(metric_value) < double('infinity')")
-    p = b.groupBy("benchmark_name").pivot("dataset_tag", ["clean", "high_noise", "long_window"]).agg(R(F.avg("metric_value"), 9))
-    return p
+    tag = F.col("dataset_tag")
+    return b.groupBy("benchmark_name").agg(*[R(F.avg(F.when(tag == t, F.col("metric_value"))), 9).alias(n) for t, n in _TAGS.items()], F.count(F.when(tag.isNull() | ~tag.isin(list(_TAGS)), 1)).alias("n_other"))
 
 
 # --- diagnostics that need pairs, graphs or matrices
@@ -180,7 +185,7 @@ def _exchange(spark, d):
     return x.select(R("m").alias("metric"), (F.col("m") > 0.95).alias("flag"))
 
 
-@query("WITH p AS (SELECT i AS p FROM (SELECT unnest(range(2, 542)) AS i) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 24)) AS j) WHERE j < i AND i % j = 0)) SELECT p_partkey, CAST(min(p) AS BIGINT) AS divisor FROM part LEFT JOIN p ON p_partkey >= 2 AND p_partkey % p = 0 GROUP BY 1", "diag_number_theory_check_small_prime_divisors")
+@query("WITH p AS (SELECT i AS p FROM (SELECT unnest(range(2, 542)) AS i) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 24)) AS j) WHERE j < i AND i % j = 0)) SELECT p_partkey, CASE WHEN p_partkey < 2 THEN p_partkey ELSE coalesce(CAST(min(p) AS BIGINT), 0) END AS divisor FROM part LEFT JOIN p ON p < p_partkey AND p_partkey % p = 0 GROUP BY 1", "diag_number_theory_check_small_prime_divisors")
 def _primes(spark, d):
     return table(spark, d, "part").select("p_partkey", catalog.smallest_prime(F.col("p_partkey")).cast("bigint").alias("divisor"))
 
@@ -191,20 +196,15 @@ def _modular(spark, d):
     return table(spark, d, "orders").where("o_orderkey > 0").select("o_orderkey", F.expr("o_orderkey * 100000 > 2147483647 div (o_custkey + 1)").alias("overflows"), F.ceil(F.log2(b + 1)).cast("bigint").alias("bits"))
 
 
-@query("SELECT o_orderkey, o_orderkey + 2147480000 > 2147483647 AS overflows, o_orderkey + (2147480000 - o_orderkey) // 2 AS mid FROM orders", "diag_searching_detect_midpoint_overflow")
+@query("SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) + (9223372036854775807 - o_custkey) > 9223372036854775807 AS overflows, CAST((CAST(o_orderkey AS HUGEINT) + (9223372036854775807 - o_custkey)) // 2 AS BIGINT) AS mid FROM orders", "diag_searching_detect_midpoint_overflow")
 def _midpoint(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey + 2147480000 > 2147483647 AS overflows", "o_orderkey + (2147480000 - o_orderkey) div 2 AS mid")
+    t = table(spark, d, "orders").select("o_orderkey", F.expr("9223372036854775807 - o_custkey").alias("hi"))
+    overflows, mid = catalog.midpoint(F.col("o_orderkey"), F.col("hi"))
+    return t.select("o_orderkey", overflows.alias("overflows"), mid.alias("mid"))
 
 
-@query("SELECT lang, count(DISTINCT c) AS symbols, count(DISTINCT c) FILTER (c IN ('a', 'b', '波')) AS shared FROM (SELECT lang, unnest(string_split(regexp_replace(text, '[^ -~波形]', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY 1", "diag_string_matching_analyze_alphabet_size")
+@query("SELECT lang, count(DISTINCT c) AS symbols, count(DISTINCT c) FILTER (c IN ('a', 'b', '波')) AS shared FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1", "diag_string_matching_analyze_alphabet_size")
 def _alphabet(spark, d):
-    # distinct symbols of each text come first, so what is shuffled is small
-    c = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[^ -~波形]", ""), ""))).alias("c")).where("c <> ''")
-    return c.groupBy("lang").agg(F.countDistinct("c").alias("symbols"), F.countDistinct(F.when(F.col("c").isin("a", "b", "波"), F.col("c"))).alias("shared"))
-
-
-@query("SELECT lang, count(DISTINCT c) AS symbols, count(DISTINCT c) FILTER (c IN ('a', 'b', '波')) AS shared FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1", "diag_string_matching_analyze_whole_alphabet")
-def _whole_alphabet(spark, d):
     return catalog.alphabet(table(spark, d, "documents"), "lang", "text", ["a", "b", "波"])
 
 

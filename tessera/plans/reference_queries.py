@@ -10,9 +10,11 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.diagnostics import DIAGNOSTICS, Diagnostic, as_sql, diagnose
+from tessera.functions.diagnostics import DIAGNOSTICS, Diagnostic, diagnose
+from tessera.functions.text import norm_id, norm_name
 from tessera.operators import fitting, graphs, relational, retrieval, series
 from tessera.operators.components import components
+from tessera.plans import diagnostics_sql
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -50,10 +52,16 @@ def lateral_top1(spark, d):
     return relational.lateral_top1(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["o_totalprice", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT DISTINCT atom_id, fqdn FROM atoms a WHERE EXISTS (SELECT 1 FROM atom_versions v WHERE v.atom_id = a.atom_id) AND EXISTS (SELECT 1 FROM io_specs v WHERE v.atom_id = a.atom_id) AND EXISTS (SELECT 1 FROM hyperparams v WHERE v.atom_id = a.atom_id) AND EXISTS (SELECT 1 FROM benchmarks v WHERE v.atom_fqdn = a.fqdn) AND EXISTS (SELECT 1 FROM atom_snapshots v WHERE v.atom_id = a.atom_id)")
+_ID = lambda c: f"lower(regexp_replace({c}, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g'))"
+_NAME = lambda c: f"regexp_replace({c}, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g')"
+
+
+@query(f"WITH a AS (SELECT DISTINCT {_ID('atom_id')} AS atom_id, {_NAME('fqdn')} AS fqdn FROM atoms) SELECT * FROM a WHERE atom_id <> '' AND fqdn <> '' AND atom_id IN (SELECT {_ID('atom_id')} FROM atom_versions) AND atom_id IN (SELECT {_ID('atom_id')} FROM io_specs) AND atom_id IN (SELECT {_ID('atom_id')} FROM hyperparams) AND fqdn IN (SELECT {_NAME('atom_fqdn')} FROM benchmarks) AND atom_id IN (SELECT {_ID('atom_id')} FROM atom_snapshots)")
 def five_semi_joins(spark, d):
-    t = partial(table, spark, d)
-    return relational.semi_all(t("atoms").select("atom_id", "fqdn").distinct(), [(t("atom_versions"), "atom_id"), (t("io_specs"), "atom_id"), (t("hyperparams"), "atom_id"), (t("benchmarks").withColumnRenamed("atom_fqdn", "fqdn"), "fqdn"), (t("atom_snapshots"), "atom_id")])
+    by_id = lambda n: table(spark, d, n).select(norm_id(F.col("atom_id")).alias("atom_id"))
+    atoms = table(spark, d, "atoms").select(norm_id(F.col("atom_id")).alias("atom_id"), norm_name(F.col("fqdn")).alias("fqdn")).distinct()
+    measured = table(spark, d, "benchmarks").select(norm_name(F.col("atom_fqdn")).alias("fqdn"))
+    return relational.semi_all(atoms, [*[(by_id(n), "atom_id") for n in ("atom_versions", "io_specs", "hyperparams")], (measured, "fqdn"), (by_id("atom_snapshots"), "atom_id")])
 
 
 @query("SELECT p.p_partkey, CASE WHEN q.p_partkey IS NULL THEN 'missing' ELSE 'stale' END AS reason FROM part p LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS s FROM part WHERE p_partkey % 10 <> 0) q ON p.p_partkey = q.p_partkey WHERE q.p_partkey IS NULL OR q.s IS DISTINCT FROM p.p_size")
@@ -331,15 +339,17 @@ def _profiles(spark, d) -> DataFrame:
     return graphs.child_profile(n, "node_id", "parent_id", "concept_type")
 
 
-_P = "p AS (SELECT parent_id AS node, count(*) AS n_children, list_sort(list(concept_type)) AS concepts FROM (SELECT DISTINCT node_id, parent_id, concept_type FROM cdg_nodes WHERE parent_id IS NOT NULL) GROUP BY 1), q AS (SELECT concepts AS qc FROM p WHERE n_children >= 2 ORDER BY node LIMIT 1)"
+_P = "p AS (SELECT parent_id AS node, count(*) AS n_children, list_sort(list(concept_type)) AS concepts FROM (SELECT DISTINCT node_id, parent_id, concept_type FROM cdg_nodes WHERE parent_id IS NOT NULL) GROUP BY 1)"
+_ASKS = "CAST('0x' || substr(md5(node), 1, 8) AS BIGINT) % 100 = 0"
 
 
-@query(f"WITH {_P} SELECT node, round(len(list_filter(qc, lambda x: list_contains(concepts, x))) / CAST(len(qc) + len(list_filter(concepts, lambda y: NOT list_contains(qc, y))) AS DOUBLE), 6) AS similarity, round(len(list_intersect(qc, concepts)) / CAST(len(list_distinct(list_concat(qc, concepts))) AS DOUBLE), 6) AS set_similarity FROM p, q WHERE len(list_filter(qc, lambda x: list_contains(concepts, x))) / CAST(len(qc) + len(list_filter(concepts, lambda y: NOT list_contains(qc, y))) AS DOUBLE) > 0.3")
+@query(f"""WITH {_P}, c AS (SELECT array_to_string(concepts, '|') AS profile, concepts, count(*) AS n_nodes, count(*) FILTER ({_ASKS}) AS n_queries FROM p GROUP BY ALL),
+ s AS (SELECT q.profile AS query_profile, c.profile, q.n_queries, c.n_nodes, len(list_filter(q.concepts, lambda x: list_contains(c.concepts, x))) / CAST(len(q.concepts) + len(list_filter(c.concepts, lambda y: NOT list_contains(q.concepts, y))) AS DOUBLE) AS sim, len(list_intersect(q.concepts, c.concepts)) / CAST(len(list_distinct(list_concat(q.concepts, c.concepts))) AS DOUBLE) AS sets FROM c q, c WHERE q.n_queries > 0)
+SELECT query_profile, profile, n_queries, n_nodes, round(sim, 6) AS similarity, round(sets, 6) AS set_similarity FROM s WHERE sim > 0.3""")
 def jaccard_neighborhood(spark, d):
-    p = _profiles(spark, d)
-    q = p.where("n_children >= 2").orderBy("node").limit(1).select(F.col("concepts").alias("qc"))  # one row
-    s = p.crossJoin(F.broadcast(q)).withColumn("similarity", graphs.list_similarity(F.col("qc"), F.col("concepts")))
-    return s.where("similarity > 0.3").select("node", R("similarity").alias("similarity"), R(graphs.set_similarity(F.col("qc"), F.col("concepts"))).alias("set_similarity"))
+    """Child profiles that are like those of the query nodes (every hundredth by its id's hash): nodes of equal profile are one class."""
+    asks = F.pmod(F.conv(F.substring(F.md5("node"), 1, 8), 16, 10).cast("bigint"), F.lit(100)) == 0
+    return graphs.similar_profiles(_profiles(spark, d).withColumn("asks", asks), 0.3).select("query_profile", "profile", "n_queries", "n_nodes", R("similarity").alias("similarity"), R("set_similarity").alias("set_similarity"))
 
 
 @query(f"WITH {_P} SELECT node, substr(sha256(array_to_string(concepts, '|')), 1, 16) AS topo_hash, n_children FROM p")
@@ -357,9 +367,9 @@ def structure_match_arity(spark, d):
     return n.where((F.abs(F.col("n_in") - 2) <= 1) & (F.abs(F.col("n_out") - 1) <= 1)).join(k, "node_id").where("kids >= 2")
 
 
-@query("WITH s AS (SELECT DISTINCT snapshot_date AS d, atom_id, fqdn, status FROM atom_snapshots WHERE atom_id = lower(trim(atom_id)) AND (snapshot_date, delivered_at) IN (SELECT snapshot_date, max(delivered_at) FROM atom_snapshots GROUP BY 1)), a AS (SELECT * FROM s WHERE d = (SELECT min(d) FROM s)), b AS (SELECT * FROM s WHERE d = (SELECT max(d) FROM s)), u AS (SELECT atom_id, min(fqdn) AS f, min(status) AS st FROM a GROUP BY 1), v AS (SELECT atom_id, min(fqdn) AS f, min(status) AS st FROM b GROUP BY 1), j AS (SELECT coalesce(u.atom_id, v.atom_id) AS atom_id, CASE WHEN u.atom_id IS NULL THEN 'added' WHEN v.atom_id IS NULL THEN 'removed' WHEN u.f IS DISTINCT FROM v.f OR u.st IS DISTINCT FROM v.st THEN 'changed' END AS change FROM u FULL JOIN v ON u.atom_id = v.atom_id) SELECT atom_id, change FROM j WHERE change IS NOT NULL")
+@query(f"WITH s AS (SELECT DISTINCT snapshot_date AS d, nullif({_ID('atom_id')}, '') AS atom_id, fqdn, status FROM atom_snapshots WHERE (snapshot_date, delivered_at) IN (SELECT snapshot_date, max(delivered_at) FROM atom_snapshots GROUP BY 1)), a AS (SELECT * FROM s WHERE d = (SELECT min(d) FROM s)), b AS (SELECT * FROM s WHERE d = (SELECT max(d) FROM s)), u AS (SELECT atom_id, min(fqdn) AS f, min(status) AS st FROM a GROUP BY 1), v AS (SELECT atom_id, min(fqdn) AS f, min(status) AS st FROM b GROUP BY 1), j AS (SELECT coalesce(u.atom_id, v.atom_id) AS atom_id, CASE WHEN u.atom_id IS NULL THEN 'added' WHEN v.atom_id IS NULL THEN 'removed' WHEN u.f IS DISTINCT FROM v.f OR u.st IS DISTINCT FROM v.st THEN 'changed' END AS change FROM u FULL JOIN v ON u.atom_id = v.atom_id) SELECT atom_id, change FROM j WHERE change IS NOT NULL AND atom_id IS NOT NULL")
 def graph_diff(spark, d):
-    t = table(spark, d, "atom_snapshots").where(F.col("atom_id") == F.lower(F.trim("atom_id")))
+    t = table(spark, d, "atom_snapshots").withColumn("atom_id", norm_id(F.col("atom_id"))).where("atom_id IS NOT NULL")
     ends = t.agg(F.min("snapshot_date").alias("a"), F.max("snapshot_date").alias("b")).first()
     last = table(spark, d, "atom_snapshots").groupBy("snapshot_date").agg(F.max("delivered_at").alias("delivered_at"))
     t = t.join(F.broadcast(last), ["snapshot_date", "delivered_at"])  # one row per date
@@ -637,4 +647,4 @@ def _diag(d: Diagnostic):
 
 
 for _d in DIAGNOSTICS:
-    QUERIES[_d.key], SQL[_d.key] = _diag(_d), as_sql(_d, _DIAG)
+    QUERIES[_d.key], SQL[_d.key] = _diag(_d), diagnostics_sql.sql(f"{_d.family}_{_d.name}", _DIAG)

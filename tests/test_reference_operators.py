@@ -355,3 +355,20 @@ def test_alphabet_counts_all_characters(spark):
         want.setdefault(lang, set()).update(text or "")
     got = {r.lang: (r.symbols, r.shared) for r in catalog.alphabet(spark.createDataFrame(texts, "lang string, text string"), "lang", "text", ["a", "b", "波"]).collect()}
     assert got == {k: (len(v), len(v & {"a", "b", "波"})) for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_topo_levels_of_random_graphs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    e = {(a, b) for b in range(1, 80) for a in r.sample(range(b), min(b, r.choice([1, 1, 1, 1, 2, 3]))) if r.random() > 0.05}
+    e |= {(i, i + 1) for i in range(100, 160)} | {(130, 300), (5, 300), (200, 201), (201, 202), (202, 200), (202, 203), (203, 204), (7, 204), (204, 205), (400, 400), (400, 401)}
+    nodes = {x for y in e for x in y}
+    before = {n: [a for a, b in e if b == n] for n in nodes}
+    level: dict = {}
+    while more := [n for n in nodes if n not in level and all(a in level for a in before[n])]:
+        for n in more:
+            level[n] = max((level[a] + 1 for a in before[n]), default=0)
+    df = spark.createDataFrame([*e, *list(e)[:9], (None, 1), (3, None)], "s int, d int")
+    assert {x.node: x.level for x in graphs.topo_levels(df, "s", "d").collect()} == {n: level.get(n) for n in nodes}
