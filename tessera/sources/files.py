@@ -79,6 +79,15 @@ def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.get("p", F.lit(1)).cast("bigint") - 1).alias("source"), (F.get("p", F.lit(2)).cast("bigint") - 1).alias("target"), F.get("p", F.lit(3)).cast("double").alias("weight"))
 
 
+def fixed_width(spark: SparkSession, path: str, widths: list[int]) -> DataFrame:
+    """Text in columns of fixed width as c0, c1, ..., trimmed; lines whose second column is no number are left out."""
+    at, cols = 1, []
+    for i, w in enumerate(widths):
+        cols.append(F.trim(F.substring("value", at, w)).alias(f"c{i}"))
+        at += w
+    return spark.read.text(path).select(*cols).where(F.expr("try_cast(c1 AS DOUBLE) IS NOT NULL"))
+
+
 def _binary(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
