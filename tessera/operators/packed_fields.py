@@ -8,6 +8,8 @@ counted over the whole data. The field is then split by its cheapest parse.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,10 @@ def _inner(field: Column) -> Column:
     t = F.regexp_replace(field, EDGE, "")
     out = t
     for a, b in reversed(ENCLOSURES):
-        out = F.when(t.startswith(a) & t.endswith(b) & (F.length(t) >= 2), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(out)
+        inside = F.substring(t, F.lit(2), F.length(t) - 2)
+        # the first mark and the last belong together only if no pair closes and opens between them
+        apart = inside.rlike(rf"^[^{re.escape(a)}{re.escape(b)}]*{re.escape(b)}")
+        out = F.when(t.startswith(a) & t.endswith(b) & (F.length(t) >= 2) & ~apart, inside).otherwise(out)
     # a table row in bars: outer bars are delimiters with empty values, which are dropped anyway
     return out
 

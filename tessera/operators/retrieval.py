@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import partitions
+
 #: Rows of a block of vectors, and of a block of queries.
 BLOCK, QUERY_BLOCK = 4096, 256
 
@@ -100,8 +102,8 @@ def _similar_pairs(base: DataFrame, queries: DataFrame, key: str, vector: str, s
     """query, key, similarity of the pairs that `pick` takes of each block: places in the queries and in the rows, from
     their similarities (-inf for a query with itself) and the rows' keys.
 
-    Queries and rows meet in blocks: each block of rows is sent once to each block of queries, and one matrix product
-    gives their similarities. So what is shuffled is rows x query blocks, never pairs.
+    Queries and rows meet in blocks: each block of rows is sent to one cell, each block of queries to all cells, and one
+    matrix product of two blocks gives their similarities. So what is shuffled is rows + queries x cells, never pairs.
     """
     ok = lambda d: d.where(F.col(vector).isNotNull() & (F.size(vector) == size))
     b = _blocks(ok(base), key, vector, BLOCK, "b")
@@ -122,7 +124,11 @@ def _similar_pairs(base: DataFrame, queries: DataFrame, key: str, vector: str, s
                 kind = batch.column(0).type.value_type
                 yield pa.RecordBatch.from_arrays([pa.array(qk[at][fine], kind), pa.array(bk[to][fine], kind), pa.array(s[fine])], names=["query", "key", "similarity"])
 
-    return q.join(b).mapInArrow(run, f"query {kind}, key {kind}, similarity double")
+    # each block of rows goes to one cell, each block of queries to all of them
+    cells = max(partitions(base.sparkSession), base.sparkSession.sparkContext.defaultParallelism)
+    b = b.withColumn("cell", F.pmod(F.xxhash64("b_keys"), F.lit(cells)).cast("int"))
+    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    return q.join(b, "cell").select("q_keys", "q_vecs", "b_keys", "b_vecs").mapInArrow(run, f"query {kind}, key {kind}, similarity double")
 
 
 def vector_top_k(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, size: int) -> DataFrame:

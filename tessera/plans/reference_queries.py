@@ -252,16 +252,21 @@ def vector_threshold_all(spark, d):
     return retrieval.vector_at_least(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.1, 64).select("query", "key", R("similarity").alias("similarity"))
 
 
+#: Hits of each side that a fused search ranks.
+POOL = 200
+
+
 def _hybrid(spark, d):
     f = fts_any_token(spark, d)
     v = retrieval.similar_to(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d)).select(F.col("vec_id").alias("doc_id"), R("similarity").alias("score"))
-    return retrieval.rrf([(retrieval.ranked(f, "score", "doc_id"), 1.0), (retrieval.ranked(v, "score", "doc_id"), 1.0)], "doc_id")
+    # the best of each side come first, so only these are ranked in one task
+    return retrieval.rrf([(retrieval.top_k(x, "score", "doc_id", POOL), 1.0) for x in (f, v)], "doc_id")
 
 
 _RRF = f"""f AS ({_fts_sql("0", _ASKED, _ASKED)}),
- fr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM f),
+ fr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM f QUALIFY r <= {POOL}),
  v AS (SELECT b.vec_id AS doc_id, round({_SIM}, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b),
- vr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM v),
+ vr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM v QUALIFY r <= {POOL}),
  h AS (SELECT coalesce(fr.doc_id, vr.doc_id) AS doc_id, coalesce(1.0 / (60 + fr.r), 0) + coalesce(1.0 / (60 + vr.r), 0) AS score FROM fr FULL JOIN vr ON fr.doc_id = vr.doc_id)"""
 
 

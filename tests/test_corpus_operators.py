@@ -38,6 +38,8 @@ FIELDS = {
     "a\tb\nc": ["a", "b", "c"],
     '"open, b': ['"open', "b"],
     ",,": None,
+    "[a, b],[c]": ["[a", "b]", "[c]"],
+    "[a, [b]]": ["a", "[b]"],
     "": None,
     "  　": None,
     None: None,
