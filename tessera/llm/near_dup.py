@@ -216,12 +216,18 @@ def similar_groups(sets: DataFrame, key: str, words: str, threshold: float) -> D
     met = Written(stars(sig.df, threshold))
     first = met.df.where("near").select("a", "b").distinct()
     links = Written(verify(first, sig.df, reps.df, threshold))
-    told = sig.df.select("key", "sig").join(components(links.df, "a", "b").withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    more = _across(met.df, told, threshold).join(first, ["a", "b"], "left_anti")
-    edges = Written(links.df.unionByName(verify(more, sig.df, reps.df, threshold)))
-    comp = components(edges.df, "a", "b")
-    for t in (sig, met, links, edges):
+    first_comp = components(links.df, "a", "b").select(F.col("node").alias("key"), "component")
+    comp = Written(sig.df.select("key", "sig").join(first_comp, "key", "left").select("key", "sig", F.coalesce("component", "key").alias("comp")))
+    more = _across(met.df, comp.df, threshold).join(first, ["a", "b"], "left_anti")
+    extra = Written(verify(more, sig.df, reps.df, threshold))
+    told = comp.df.select("key", F.col("comp").alias("c"))
+    if extra.df.limit(1).count():
+        # links between components join these, so the second search is over components only
+        of = lambda side: told.select(F.col("key").alias(side), F.col("c").alias(f"c{side}"))
+        joined = components(extra.df.join(of("a"), "a").join(of("b"), "b"), "ca", "cb").select(F.col("node").alias("c"), "component")
+        told = told.join(joined, "c", "left").select("key", F.coalesce("component", "c").alias("c"))
+    for t in (met, links, extra, sig):
         t.drop()
-    told = reps.df.select("key", "same", "name", "n_copies").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+    told = reps.df.select("key", "same", "name", "n_copies").join(told, "key")
     least = told.groupBy("c").agg(F.min("name").alias("group"))
     return src.df.select("key", "same").join(told.join(least, "c").select("same", "group", "n_copies"), "same").select(F.col("key").alias(key), "group", "n_copies")

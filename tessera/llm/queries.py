@@ -88,6 +88,17 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p8_ids, p8_round_trip, p9_sequences, p9_fill, p10_found, p10_kinds, p10_templates, p10_kept)}
 
+_TRIM = r"regexp_replace({}, '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')"
+_W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_PAIRS = f"""WITH RECURSIVE r AS (SELECT lower({_TRIM.format('atom_id')}) AS id, max(struct_pack(l := loaded_at, f := coalesce({_TRIM.format('fqdn')}, ''), d := coalesce(description, ''))) AS r FROM atoms WHERE {_TRIM.format('atom_id')} <> '' GROUP BY 1),
+ w AS (SELECT id, list_distinct(list_concat({_W.format('r.f')}, {_W.format('r.d')})) AS ws FROM r WHERE len({_W.format('r.d')}) >= {MIN_WORDS}),
+ p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) + len(b.ws) AS m FROM w a JOIN w b ON a.id < b.id AND len(a.ws) >= {THRESHOLD} * len(b.ws) AND len(b.ws) >= {THRESHOLD} * len(a.ws)),
+ u AS (SELECT a, b FROM p WHERE n >= {THRESHOLD} * (m - n) UNION ALL SELECT b, a FROM p WHERE n >= {THRESHOLD} * (m - n)),
+ t AS (SELECT a, b FROM u UNION SELECT t.a, u.b FROM t JOIN u ON u.a = t.b)"""
+
 SQL = {
+    "p4_found": _PAIRS + " SELECT a AS atom_id_a, b AS atom_id_b FROM t WHERE a < b",
+    "p4_groups": _PAIRS + """, g AS (SELECT w.id, least(w.id, coalesce(min(t.b), w.id)) AS g, any_value(list_sort(w.ws)) AS ws FROM w LEFT JOIN t ON t.a = w.id GROUP BY 1)
+SELECT id AS atom_id, g AS "group", count(*) OVER (PARTITION BY ws) AS n_copies FROM g""",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
