@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import Written
+
 
 def latest_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in `order` (one row per key; ties are decided by the order given, so make it total)."""
@@ -82,20 +84,19 @@ def keep_last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
 def pareto_front(df: DataFrame, key: str, a: str, b: str, parts: int = 64) -> DataFrame:
     """Rows that no other row beats: as great in a and b and greater in one. Null counts as the least.
 
-    A front of each of `parts` parts comes first, then the front of what is left; a part's front is small, so the last
-    window sees few rows.
+    A row is beaten if its b isn't above the greatest b of the rows with a greater a, or is below that of its own a.
+    Rows are ranged by a into parts; the greatest b of each part (as many rows as parts) goes to all later ones, so
+    that no task sees more than a part, however large the front is.
     """
-
-    def front(d: DataFrame, *part: str) -> DataFrame:
-        top = d.groupBy(*part, "_a").agg(F.max("_b").alias("_top"))
-        wa = Window.partitionBy(*part).orderBy(F.col("_a").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        good = top.withColumn("_m", F.max("_top").over(wa)).where(F.col("_m").isNull() | (F.col("_top") > F.col("_m"))).select(*part, "_a", F.col("_top").alias("_b"))
-        return d.join(good, [*part, "_a", "_b"], "left_semi")
-
     low = F.lit(float("-inf"))
-    d = df.select(key, F.coalesce(a, low).alias("_a"), F.coalesce(b, low).alias("_b"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part"), F.lit(0).alias("_one"))
-    few = front(front(d, "_part").drop("_part"), "_one")
-    return few.select(key, F.col("_a").alias(a), F.col("_b").alias(b))
+    d = df.select(key, F.coalesce(a, low).alias("_a"), F.coalesce(b, low).alias("_b"))
+    # written once, so the parts stay the same
+    ranged = Written(d.groupBy("_a").agg(F.max("_b").alias("_top")).repartitionByRange(parts, F.col("_a").desc()).withColumn("_p", F.spark_partition_id())).df
+    before = ranged.groupBy("_p").agg(F.max("_top").alias("_m")).withColumn("_before", F.max("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", "_before")
+    inner = F.max("_top").over(Window.partitionBy("_p").orderBy(F.col("_a").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.greatest("_before", "_inner")
+    good = ranged.withColumn("_inner", inner).join(F.broadcast(before), "_p").where(seen.isNull() | (F.col("_top") > seen)).select("_a", F.col("_top").alias("_b"))
+    return d.join(good, ["_a", "_b"], "left_semi").select(key, F.col("_a").alias(a), F.col("_b").alias(b))
 
 
 def h_index(df: DataFrame, key: str, value: str) -> DataFrame:

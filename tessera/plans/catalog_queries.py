@@ -249,9 +249,9 @@ def wavelet_scale(spark, d):
     return signals.wavelet_scale(_diag_base(spark, d).select("g", "pos", "x"), "g", "pos", "x")
 
 
-@query()
+@query(f"WITH l AS (SELECT g, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, count(*) AS n FROM ({_DIAG}) GROUP BY 1), c AS (SELECT g, n, list_transform(range(n), lambda p: list_sum(list_transform(list_filter(range(n), lambda i: p + (n - 1) // 2 - i BETWEEN 0 AND n - 1), lambda i: xs[i + 1] * ys[p + (n - 1) // 2 - i + 1]))) AS v FROM l) SELECT g, unnest(range(n)) AS pos, round(unnest(list_transform(v, lambda e: e / list_max(list_transform(v, lambda a: abs(a))))), 6) AS combined FROM c")
 def combine_convolve(spark, d):
-    return signals.combine_convolve(_diag_base(spark, d).select("g", "pos", "x", "y"), "g", "pos", ["x", "y"])
+    return signals.combine_convolve(_diag_base(spark, d).select("g", "pos", "x", "y"), "g", "pos", ["x", "y"]).withColumn("combined", R("combined"))
 
 
 @query()
@@ -264,9 +264,12 @@ def fit_segments(spark, d):
     return signals.fit_segments(_diag_base(spark, d).select("g", "pos", "x"), "g", "pos", "x")
 
 
-@query(name="diag_mcmc_compute_dual_averaging_step_size")
+@query(f"""WITH RECURSIVE a AS (SELECT g, pos + 1 AS m, y / 11 AS a FROM ({_DIAG})),
+ s AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS m, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS bar FROM a
+       UNION ALL SELECT g, m, h, pow(CAST(m AS DOUBLE), -0.75) * (ln(10.0) - sqrt(m) / 0.05 * h) + (1 - pow(CAST(m AS DOUBLE), -0.75)) * bar FROM (SELECT a.g, a.m, s.h + (0.65 - a.a - s.h) / (a.m + 10) AS h, s.bar FROM s JOIN a ON a.g = s.g AND a.m = s.m + 1))
+SELECT g, round(exp(arg_max(bar, m)), 6) AS step FROM s GROUP BY 1""", "diag_mcmc_compute_dual_averaging_step_size")
 def _steps(spark, d):
-    return signals.step_sizes(_diag_base(spark, d).select("g", "pos", (F.col("y") / 11).alias("a")), "g", "pos", "a")
+    return signals.step_sizes(_diag_base(spark, d).select("g", "pos", (F.col("y") / 11).alias("a")), "g", "pos", "a").withColumn("step", R("step"))
 
 
 @query(name="diag_mcmc_compute_convergence_diagnostics")
@@ -301,19 +304,17 @@ def _scratch(spark) -> str:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
-    """The windows of a complete stream equal the batch's."""
+    """The windows of a stream in update mode: a batch writes only those it changed; the last one written of each counts."""
     at = _scratch(spark)
-    q = logs.window_counts(_stream(spark, d), "ts", "event_type", "value")
-    done: list = []
+    q = logs.window_counts(_stream(spark, d), "ts", "event_type", "value", late="3650 days")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/v={epoch}")
-        done.append(epoch)
+        batch.write.mode("overwrite").parquet(f"{at}/windows/epoch={epoch}")
 
-    s = q.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    s = q.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     s.awaitTermination()
-    out = spark.read.parquet(f"{at}/v={max(done)}")
-    return out.select(F.col("w").cast("timestamp_ntz").alias("w"), "event_type", "n", R("total").alias("total"))
+    last = spark.read.parquet(f"{at}/windows").groupBy("w", "event_type").agg(F.max(F.struct("epoch", "n", "total")).alias("l"))
+    return last.select(F.col("w").cast("timestamp_ntz").alias("w"), "event_type", "l.n", R("l.total").alias("total"))
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY 1")
@@ -322,7 +323,7 @@ def stream_event_log_upsert(spark, d):
     best = _stream(spark, d).select("user_id", "ts", "event_type")
     s = best.writeStream.foreachBatch(logs.upsert_sink(f"{at}/table", "user_id", "ts")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     s.awaitTermination()
-    return logs.latest_state(spark, f"{at}/table").select("user_id", "ts", "event_type")
+    return logs.latest_state(spark, f"{at}/table", "user_id", "ts").select("user_id", "ts", "event_type")
 
 
 @query("WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events), y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM y GROUP BY user_id, s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import upsert
+from tessera.operators.relational import best_row
 
 
 def window_counts(events: DataFrame, ts: str, kind: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -27,33 +27,49 @@ def session_counts(events: DataFrame, ts: str, user: str, gap: str = "30 minutes
     return s.select(user, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
+#: Batches after which the changes are merged into the state.
+MERGE = 16
+
+
+def _versions(spark, path: str, kind: str) -> list[int]:
+    """The finished versions of a kind ('d' changes, 's' state) under a path, ascending."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hp(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hp(path))] if fs.exists(hp(path)) else []
+    return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and fs.exists(hp(f"{path}/{n}/_SUCCESS")))
+
+
+def _state(spark, path: str, upto: int, schema=None) -> DataFrame | None:
+    """The last row of each key as of a batch: the newest merged state and the changes after it."""
+    base = [v for v in _versions(spark, path, "s") if v <= upto][-1:]
+    later = [v for v in _versions(spark, path, "d") if v <= upto and (not base or v > base[0])]
+    paths = [f"{path}/s={v}" for v in base] + [f"{path}/d={v}" for v in later]
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(*paths) if paths else None
+
+
 def upsert_sink(path: str, key: str, stamp: str):
-    """A foreachBatch function that keeps the last state of each key in versioned parquet folders under `path`.
+    """A foreachBatch function that keeps the last state of each key in parquet folders under `path`.
 
-    A batch writes a new version and only then points to it, so a batch that is run again after a failure gives the
-    same state.
+    A batch writes only its own last row of each key; every MERGE batches they are merged into a new state, so a batch
+    costs what it changes and a MERGE-th of the state. A batch that is run again after a failure replaces its folder.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        before = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(hp(path)) if s.getPath().getName().startswith("v=")) if fs.exists(hp(path)) else []
-        before = [v for v in before if v < epoch and fs.exists(hp(f"{path}/v={v}/_SUCCESS"))]
         cols = [c for c in batch.columns if c not in (key, stamp)]
-        state = batch.select(key, stamp, *cols)
-        empty = state.limit(0)
-        old = spark.read.schema(state.schema).parquet(f"{path}/v={before[-1]}") if before else empty
-        upsert(old, state, key, stamp).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        rows = batch.select(key, stamp, *cols)
+        best_row(rows, [key], [stamp, *cols], [stamp, *cols]).write.mode("overwrite").parquet(f"{path}/d={epoch}")
+        if epoch % MERGE == MERGE - 1:
+            best_row(_state(spark, path, epoch, rows.schema), [key], [stamp, *cols], [stamp, *cols]).write.mode("overwrite").parquet(f"{path}/s={epoch}")
 
     return write
 
 
-def latest_state(spark, path: str) -> DataFrame:
-    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hp(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(hp(path)) if s.getPath().getName().startswith("v=") and fs.exists(hp(f"{s.getPath()}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v={max(done)}")
+def latest_state(spark, path: str, key: str, stamp: str) -> DataFrame:
+    """The last row of each key, of all finished batches."""
+    d = _state(spark, path, 1 << 60)
+    cols = [c for c in d.columns if c not in (key, stamp)]
+    return best_row(d, [key], [stamp, *cols], [stamp, *cols])
 
 
 def run_to_end(result: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

@@ -338,9 +338,22 @@ def test_upsert_stream_can_run_again(spark, tmp_path):
     two.write.mode("append").parquet(str(src))
     run()
     want = [("a", 2, "y"), ("b", 1, "x"), ("c", 1, "z")]
-    assert rows(logs.latest_state(spark, sink), "k", "t", "v") == want
+    assert rows(logs.latest_state(spark, sink, "k", "t"), "k", "t", "v") == want
     write(two, 1)  # the last batch, run again after a failure
-    assert rows(logs.latest_state(spark, sink), "k", "t", "v") == want
+    assert rows(logs.latest_state(spark, sink, "k", "t"), "k", "t", "v") == want
+
+
+def test_upsert_stream_merges_its_changes(spark, tmp_path):
+    sink = f"file://{tmp_path}/out"
+    write = logs.upsert_sink(sink, "k", "t")
+    want: dict = {}
+    for epoch in range(logs.MERGE + 3):
+        batch = [(f"k{(epoch * i) % 11}", epoch - i, f"v{epoch}-{i}") for i in range(4)]
+        for k, t, v in batch:
+            want[k] = max(want.get(k, (t, v)), (t, v))
+        write(spark.createDataFrame(batch, "k string, t int, v string"), epoch)
+    assert {(k, t, v) for k, t, v in rows(logs.latest_state(spark, sink, "k", "t"), "k", "t", "v")} == {(k, *x) for k, x in want.items()}
+    assert len(list(tmp_path.glob("out/s=*"))) == 1
 
 
 def test_dispatch_latency(spark):
