@@ -65,6 +65,7 @@ RARELY = [
     r"\$\{[A-Z_][\w.]*\}",
     r"(?<![\w.$])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b(?![.(])",
     r"(?<![\\\w}$^])\{[A-Za-z]\}",
+    r"\[[A-Z][a-z]+(?: [A-Z]?[a-z]+)*\](?!\()",
 ]
 #: Defaults: unfilled only in a slot that template-only markers hold in other documents.
 DEFAULT = [r"(?<![\w/])(?:N/A|n/a|TBD|TODO|FIXME|null|NULL|undefined|NaN|None|\[object Object\])(?![\w/])"]
@@ -164,7 +165,12 @@ _SMALL = frozenset(
     "le la les un une de des du ce cette votre vous nous est a été n ne pas plus se sur dans pour l d s c qu "
     "der die das den dem ein eine dieser diese dieses ist sind war wurde hat mehr sie ihre ihr ihren wir zu auf im in für mehr es "
     "el la los las un una de del su sus se es ya no en por para al lo le y o usted "
-    "o a os as um uma do da dos das seu sua se é já não em para por e mais".split()
+    "o a os as um uma do da dos das seu sua se é já não em para por e mais "
+    "il lo gli di da per con su sono i un una che ha è della del al alla questo questa "
+    "de het een van te op voor met uw je u dit deze er dat "
+    "i din ditt er du det en et og som för på av att kan jeg deg vår den denne nå "
+    "w na z do jest się ten ta to o po że "
+    "в на и с по о к для это эта этот вы мы bu şu ve bir için".split()
 )
 _ERROR_CJK = regex.compile(r"^(?=.{2,40}$)(?:.*(?:会话|登录|服务|页面|服务器|请求|资源|权限|访问).*(?:过期|失效|不可用|不存在|失败|错误|拒绝|超时|重试|重新)|.*(?:セッション|サービス|ページ|サーバー|アクセス|リクエスト|リソース|ログイン).*(?:期限|切れ|利用でき|存在し|失敗|エラー|拒否|見つかり|もう一度|再度|やり直)).*$")
 #: Page furniture: a line of links, or markup around a whole text.
@@ -176,6 +182,12 @@ LOREM = frozenset(
     "ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
     "proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+#: More words that such text is often made of.
+LOREM = LOREM | frozenset(
+    "vestibulum vehicula quam diam faucibus nec ultricies pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas proin sagittis mauris vitae eros donec vel sapien elementum "
+    "pulvinar etiam curabitur tortor condimentum lacinia quis ante ipsum primis orci luctus ultrices posuere cubilia curae vivamus suscipit tempus nullam porttitor blandit praesent sollicitudin massa nisl "
+    "dictum fermentum integer feugiat scelerisque varius natoque penatibus magnis dis parturient montes nascetur ridiculus mus nunc felis arcu leo augue phasellus hendrerit maecenas pharetra convallis".split()
+)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _PLAIN_WORD = re.compile(r"[a-z0-9]+")
 #: A unit is filler from this many of its words, and this share, being filler words.
@@ -183,27 +195,28 @@ LOREM_WORDS, LOREM_SHARE = 4, 0.8
 
 #: Stems of what an error page is about, of what went wrong with it, and of a scripts notice; a unit that is mostly made of them reads like one.
 _ABOUT = (
-    "page site server document resource file link address request session access connection service website content",
+    "page site server document resource file link address request session access connection service website content database browser owner administrator",
     "seite dokument ressource datei adresse anfrage sitzung zugriff verbindung dienst inhalt",
     "pagina sito documento risorsa richiesta sessione accesso connessione servizio contenuto",
     "página sitio recurso archivo enlace solicitud sesión acceso conexión servicio arquivo sessão acesso conexão serviço",
     "ressource fichier lien requête accès connexion demandé",
-    "bestand verbinding verzoek sessie toegang dienst", "strona serwer plik żądanie sesja dostęp połączenie", "sida sidan filen begäran åtkomst anslutning",
-    "страниц сайт сервер документ ресурс файл запрос сесси доступ соединени", "sayfa sunucu dosya istek oturum erişim bağlantı", "페이지 서버 파일 요청 접근 연결",
+    "bestand verbinding verzoek sessie toegang dienst", "stron serwer plik żądani sesj dostęp połączeni", "stránk server soubor požadav relace přístup připojení", "side tjener fil forespørsel økt tilgang tilkobling tjeneste", "sivu palvelin tiedosto", "sida sidan filen begäran åtkomst anslutning",
+    "страниц сайт сервер сервис документ ресурс файл запрос сесси доступ соединени", "sayfa sunucu dosya istek oturum erişim bağlantı", "페이지 서버 파일 요청 접근 연결",
 )
 _WRONG = (
-    "error fail not found missing unavailable reached denied forbidden refused expired timeout invalid broken sorry oops wrong try again reload retry can't cannot couldn't",
+    "error fail failed fails failure not found missing unavailable reached denied forbidden refused expired timeout invalid broken sorry oops wrong try again reload retry can't cannot couldn't unable load refresh blocked establishing checking accessing",
     "fehler nicht gefunden verfügbar verweigert abgelaufen erneut ungültig", "errore non trovata trovato disponibile negato scaduta riprova riprovare impossibile",
     "encontrada encontrado disponible denegado caducado inténtelo intente disponível negado expirou tente novamente não",
-    "introuvable indisponible refusé expiré réessayez erreur", "niet gevonden beschikbaar geweigerd verlopen fout opnieuw probeer", "błąd nie znaleziono znaleziona niedostępna odmowa wygasła spróbuj ponownie",
-    "fel hittades inte tillgänglig nekad försök igen", "ошибк не найден недоступ отказано истек попробуйте снова", "hata bulunamadı kullanılamıyor reddedildi tekrar deneyin", "오류 찾을 없습니다 거부 다시",
+    "introuvable indisponible refusé expiré réessayez erreur", "niet gevonden beschikbaar geweigerd verlopen fout opnieuw probeer", "błąd nie znalezion niedostępn odmow wygasł spróbuj ponownie", "chyba nenalezen nedostupn odepřen vypršel zkuste znovu", "feil oppstod ikke funnet utilgjengelig nektet utløpt prøv igjen senere", "virhe löydy",
+    "fel hitta inte kunde tillgänglig nekad försök igen", "ошибк не найден недоступ временно отказано истек попробуйте снова", "hata bulunamadı kullanılamıyor reddedildi tekrar deneyin", "오류 찾을 없습니다 거부 다시",
 )
 _SCRIPT_WORDS = (
     "javascript javascripts scripts cookies browser enable enabled disabled turn activate allow requires required need needs without please",
     "aktivieren browser einschalten benötigt bitte", "abilita attiva richiede", "activa active habilita requiere navegador", "ative habilite requer", "activez nécessite navigateur",
     "schakel inschakelen vereist", "włącz przeglądarka wymaga", "aktivera webbläsare kräver", "включите браузер требуется", "etkinleştirin tarayıcı", "활성화 브라우저",
 )
-_stems = lambda *lists: re.compile("(?:" + "|".join(sorted({re.escape(w) for part in lists for line in part for w in line.split()}, key=lambda w: (-len(w), w))) + ")")
+#: Short ones must be the whole word.
+_stems = lambda *lists: re.compile("(?:" + "|".join(sorted({re.escape(w) + (r"\b" if len(w) < 5 and w.isascii() else "") for part in lists for line in part for w in line.split()}, key=lambda w: (-len(w), w))) + ")")
 _ABOUT_STEM, _WRONG_STEM, _SCRIPT_STEM = _stems(_ABOUT), _stems(_WRONG), _stems(_SCRIPT_WORDS)
 #: Of its words but small ones and numbers this share must have such a stem.
 STEM_SHARE = 0.75
@@ -218,7 +231,10 @@ BLANK_WORDS = 3
 #: What a text must hold for the patterns of _SHOWN to find anything, in their order.
 _OPENERS = [("```", "~~~"), ("<pre", "<code", "<PRE", "<CODE"), ("`",), ('"',), ('"',), ('"',), ("“", "„", "«", "「", "『", "‘"), ("$$", "\\[", "\\(")]
 #: A unit without any of these holds no slot.
-_SLOT_MARKS = re.compile(r"[{}<>\[$%@#&]|__|XXXX|[A-Z]_[A-Z]|\([Yy]our |\([Yy][Oo]|N/A|n/a|TBD|TODO|FIXME|null|NULL|undefined|NaN|None|YOUR ")
+_SLOT_MARKS = re.compile(r"\{[{%A-Za-z]|<[<%A-Za-z]|\[[\[A-Za-z]|\$[A-Z{]|%[A-Z(]|@@|#\{|&lt;|__|XXXX|[A-Z0-9]_[A-Z0-9]|\([Yy]")
+#: One without these and the other marks holds no default either.
+_DEFAULT_MARKS = re.compile("N/A|n/a|TBD|TODO|FIXME|null|NULL|undefined|NaN|None")
+_DEFAULT = regex.compile(f"()()()({'|'.join(DEFAULT)})")
 
 
 def _required(p) -> set[str] | None:
@@ -288,9 +304,13 @@ def visible(text: str, first: int = 0) -> str:
     return _TAG.sub("\n", text) if "<" in text else text
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _shape(low: str) -> list[str]:
     """The words of a lower-case unit; numbers and what holds digits are alike."""
-    return [w if w.isalpha() else "0" if any(c.isdigit() for c in w) else w for w in _WORDS.findall(low)]
+    words = _WORDS.findall(low)
+    return ["0" if _DIGIT.search(w) else w for w in words] if _DIGIT.search(low) else words
 
 
 def _hash(*words: str) -> int:
@@ -324,7 +344,7 @@ def page_kind(unit: str, low: str, words: list[str]) -> tuple[str, int]:
         return "error", KNOWN
     told = [_SAYS[w] for w in words]
     # what the words alone say, but for small ones and numbers
-    if _IS_WRONG in told and (_IS_ABOUT in told or _STATUS_NUMBER.search(low)) and told.count(_IS_WRONG) + told.count(_IS_ABOUT) >= STEM_SHARE * (len(told) - told.count(_IS_SMALL)):
+    if _IS_WRONG in told and (_IS_ABOUT in told or told.count(_IS_WRONG) > 1 or _STATUS_NUMBER.search(low)) and told.count(_IS_WRONG) + told.count(_IS_ABOUT) >= STEM_SHARE * (len(told) - told.count(_IS_SMALL)):
         return "error", CUED
     if ("javascript" in low or "cookies" in low) and told.count(_IS_SCRIPT) >= STEM_SHARE * (len(told) - told.count(_IS_SMALL)):
         return "scripts", CUED
@@ -337,7 +357,7 @@ def _slots(unit: str) -> list[tuple] | None:
     The context of a place is up to two words on either side, up to the next place. A place without words around it is
     its own context if its marker is one that only templates use.
     """
-    found = list(_SLOT.finditer(unit))
+    found = list((_SLOT if _SLOT_MARKS.search(unit) else _DEFAULT).finditer(unit))
     if not found:
         return None
     parts, at = [], 0
@@ -351,8 +371,10 @@ def _slots(unit: str) -> list[tuple] | None:
     one = _hash(a[0], a[1], z[-1]) if len(a) >= 2 and z else 0
     two = _hash(a[0], z[-2], z[-1]) if a and len(z) >= 2 else 0
     out = []
+    # two different names in one unit are as good as a shape that prose seldom has
+    two_names = len({m.group() for m in found if m.lastindex == 3 and len(m.group()) > 3}) > 1
     for i, m in enumerate(found):
-        rank = 4 - m.lastindex
+        rank = 2 if two_names and m.lastindex == 3 else 4 - m.lastindex
         left, right = parts[i][-2:], parts[i + 1][:2]
         alone = not left and not right
         ctx = _hash("alone", "" if rank == 3 else m.group()) if alone else _hash(*left, "◇", *right)
@@ -378,7 +400,7 @@ def units(text: str) -> list[tuple]:
         for unit in _SENTENCE.sub(r"\1\2\n", line).split("\n"):
             if not unit or unit.isspace():
                 continue
-            found = _slots(unit) if _SLOT_MARKS.search(unit) else None
+            found = _slots(unit) if _SLOT_MARKS.search(unit) or _DEFAULT_MARKS.search(unit) else None
             if found:
                 out.extend((True, "template", rank, page, h, one, two, ctx, marker, said) for h, one, two, ctx, marker, rank, said in found)
                 if any(f[5] for f in found):
