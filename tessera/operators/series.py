@@ -155,14 +155,15 @@ def resample(df: DataFrame, key: str, t: str, value: str, step: float, method: s
 def pad(onsets: DataFrame, anchor: DataFrame, key: str, t: str, value: str, width: float, kernel: str = "constant") -> DataFrame:
     """Each anchor time with the sum of onset * kernel over the onsets in (t - width, t].
 
-    'linear' falls from 1 to 0 over the width, 'exponential' to 0.01. Times are put into buckets of the width, so an
+    'linear' falls from 1 to 0 over the width, 'exponential' to 0.01, 'gaussian' by half a bell with a deviation of
+    2 sqrt(width) sixtieths of the width. Times are put into buckets of the width, so an
     onset meets only the anchors of two buckets.
     """
     o = onsets.select(key, F.col(t).alias("_o"), F.col(value).alias("_v"))
     o = o.withColumn("_bk", F.explode(F.array(F.floor(F.col("_o") / width), F.floor(F.col("_o") / width) + 1)))
     a = anchor.select(key, F.col(t).alias("_t")).distinct().withColumn("_bk", F.floor(F.col("_t") / width))
     age = (F.col("_t") - F.col("_o")) / width
-    k = {"constant": F.lit(1.0), "linear": 1.0 - age, "exponential": F.exp(age * F.log(F.lit(0.01)))}[kernel]
+    k = {"constant": F.lit(1.0), "linear": 1.0 - age, "exponential": F.exp(age * F.log(F.lit(0.01))), "gaussian": F.exp(-0.5 * F.pow(age * 30 / width**0.5, F.lit(2)))}[kernel]
     hit = a.join(o, [key, "_bk"]).where((age >= 0) & (age < 1)).groupBy(key, "_t").agg(F.sum(F.col("_v") * k).alias("padded"))
     return a.select(key, "_t").join(hit, [key, "_t"], "left").select(key, F.col("_t").alias(t), F.coalesce("padded", F.lit(0.0)).alias("padded"))
 

@@ -6,9 +6,12 @@ an executor.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def butter_sos(order: int, low: float, high: float, fs: float) -> np.ndarray:
@@ -237,9 +240,10 @@ def chain_diagnostics(df: DataFrame, key: str, chain: str, pos: str, value: str)
     return _per_series(df, key, pos, f, "rhat double, ess double")
 
 
-def fit_segments(df: DataFrame, key: str, pos: str, value: str, rising: bool = True, floor: float = 0.0, min_width: int = 3) -> DataFrame:
-    """Rising (or falling) runs of at least `min_width` samples with the rate of the exponential that fits them best,
-    v = A (exp(a i) - 1) + v0 by a search over a: key, first, last, rate, strength = log(1 + |A a|)."""
+def fit_segments(df: DataFrame, key: str, pos: str, value: str, rising: bool = True, floor: float = 0.0, min_width: int = 3, model: str = "exp") -> DataFrame:
+    """Rising (or falling) runs of at least `min_width` samples with the rate of the curve that fits them best,
+    v = A (exp(a i) - 1) + v0, or A sinh(a i) + v0 for the model 'sinh', by a search over a: key, first, last, rate,
+    strength = log(1 + |A a|)."""
     rates = np.geomspace(1e-3, 2, 60)
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +259,7 @@ def fit_segments(df: DataFrame, key: str, pos: str, value: str, rising: bool = T
             i = np.arange(len(seg))
             best = (np.inf, 0.0, 0.0)
             for r in rates:
-                e = np.expm1(r * i) if rising else -np.expm1(-r * i)
+                e = np.sinh(np.minimum(r * i, 50.0)) if model == "sinh" else np.expm1(r * i) if rising else -np.expm1(-r * i)
                 amp = (e @ (seg - seg[0])) / (e @ e)
                 best = min(best, (float(((seg - seg[0] - amp * e) ** 2).sum()), r, amp))
             out.append((at[a], at[b], best[1], float(np.log1p(abs(best[1] * best[2])))))
@@ -282,3 +286,28 @@ def combine_coherence(df: DataFrame, key: str, pos: str, parts: list[str], windo
         return pd.DataFrame({"pos": pdf[pos].to_numpy(), "combined": (m * weight).sum(axis=1) / total})
 
     return _per_series(df, key, pos, f, "pos bigint, combined double")
+
+
+def observability(df: DataFrame, key: str, f: str, h: str, n: int, m: int = 1) -> DataFrame:
+    """(key, rank, observable): the rank of [H; HF; ...; HF^(n-1)] of each row's system.
+
+    f holds the n x n transition and h the m x n measurement matrix row by row; rows with other sizes or nulls have
+    rank 0. Rows are taken in batches, without a shuffle.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ranks = []
+            for a, c in zip(b["f"], b["h"]):
+                if a is None or c is None or len(a) != n * n or len(c) != m * n:
+                    ranks.append(0)
+                    continue
+                step, part = np.asarray(a, float).reshape(n, n), [np.asarray(c, float).reshape(m, n)]
+                for _ in range(n - 1):
+                    part.append(part[-1] @ step)
+                ranks.append(int(np.linalg.matrix_rank(np.vstack(part))))
+            yield pd.DataFrame({"key": b["key"], "rank": np.array(ranks, np.int64)})
+
+    out = df.select(F.col(key).alias("key"), F.col(f).alias("f"), F.col(h).alias("h")).mapInPandas(run, f"key {kind}, rank bigint")
+    return out.select(F.col("key").alias(key), "rank", (F.col("rank") == n).alias("observable"))

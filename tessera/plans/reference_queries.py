@@ -528,6 +528,7 @@ def _pad(kernel: str, expr: str):
 _pad("constant", "1")
 _pad("linear", "1 - (a.pos - o.pos) / 5.0")
 _pad("exponential", "exp((a.pos - o.pos) / 5.0 * ln(0.01))")
+_pad("gaussian", "exp(-0.5 * pow((a.pos - o.pos) / 5.0 * 30 / sqrt(5.0), 2))")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

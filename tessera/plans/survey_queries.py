@@ -108,7 +108,6 @@ def benchmarks_by_atom(spark, d):
 def metadata_keys(spark, d):
     """The top-level keys of JSON objects and in how many runs they stand."""
     t = table(spark, d, "pipeline_runs").select("run_id", "metadata").distinct()
-    v = F.try_parse_json("metadata")
     keyed = t.where(F.expr("schema_of_variant(try_parse_json(metadata)) LIKE 'OBJECT%'")).select("run_id", F.explode(F.json_object_keys("metadata")).alias("k"))
     return keyed.groupBy("k").agg(F.countDistinct("run_id").alias("n_runs"))
 
@@ -871,3 +870,50 @@ def manifest_variables(spark, d):
     v = table(spark, d, "hyperparams").select("hp_id", norm_id(F.col("atom_id")).alias("atom_id"), "name", F.col("atom_id").isNull().alias("_n")).distinct()
     a = table(spark, d, "atoms").select(norm_id(F.col("atom_id")).alias("atom_id"), F.lit(True).alias("_in")).where("atom_id IS NOT NULL").distinct()
     return v.join(a, "atom_id", "left").select("hp_id", "name", F.when(F.col("atom_id").isNull(), "no expression").when(F.col("_in").isNull(), "unknown expression").alias("problem")).distinct()
+
+
+@query("SELECT s_suppkey, CASE WHEN abs(h1 * (h1 * b + h2 * d) - h2 * (h1 * a + h2 * c)) > 1e-9 THEN 2 WHEN h1 <> 0 OR h2 <> 0 THEN 1 ELSE 0 END AS rank, abs(h1 * (h1 * b + h2 * d) - h2 * (h1 * a + h2 * c)) > 1e-9 AS observable FROM (SELECT s_suppkey, s_suppkey % 3 AS a, s_suppkey % 5 AS b, s_nationkey % 2 AS c, s_nationkey % 3 AS d, s_suppkey % 2 AS h1, s_nationkey % 4 AS h2 FROM supplier)")
+def diag_sequential_filter_check_observability(spark, d):
+    from tessera.operators import signals
+
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = table(spark, d, "supplier").select("s_suppkey", F.array(k % 3, k % 5, n % 2, n % 3).cast("array<double>").alias("f"), F.array(k % 2, n % 4).cast("array<double>").alias("h"))
+    return signals.observability(s, "s_suppkey", "f", "h", 2)
+
+
+@query()
+def fit_sinh_rise(spark, d):
+    from tessera.operators import signals
+
+    return signals.fit_segments(_diag_base(spark, d).select("g", "pos", "x"), "g", "pos", "x", model="sinh")
+
+
+@query()
+def fit_sinh_fall(spark, d):
+    from tessera.operators import signals
+
+    return signals.fit_segments(_diag_base(spark, d).select("g", "pos", "x"), "g", "pos", "x", rising=False, model="sinh")
+
+
+@query("WITH x AS (SELECT DISTINCT p_brand AS family, CASE WHEN p_size > 25 THEN 'wide' ELSE 'narrow' END AS technique, p_retailprice AS cost FROM part), s AS (SELECT family, technique, cost, 0.35 * CASE WHEN family = 'Brand#13' THEN 1 ELSE 0 END + 0.35 * CASE WHEN technique = 'wide' THEN 1 ELSE 0.5 END AS s FROM x) SELECT family, technique, round(cost, 2) AS cost, CAST(round(s, 6) AS DOUBLE) AS score FROM s WHERE s >= 0.1 ORDER BY s DESC, cost, family, technique LIMIT 20")
+def operation_retrieval(spark, d):
+    """The twenty best operations by family and technique; the cheaper first on ties."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("family"), F.when(F.col("p_size") > 25, "wide").otherwise("narrow").alias("technique"), F.col("p_retailprice").alias("cost")).distinct()
+    s = 0.35 * (F.col("family") == "Brand#13").cast("double") + 0.35 * F.when(F.col("technique") == "wide", 1.0).otherwise(0.5)
+    return p.withColumn("s", s).where("s >= 0.1").orderBy(F.col("s").desc(), "cost", "family", "technique").limit(20).select("family", "technique", F.round("cost", 2).alias("cost"), R("s").alias("score"))
+
+
+@query("WITH h AS (SELECT user_id, event_type, count(*) FILTER (gain > 0) AS n FROM (SELECT user_id, event_type, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gain FROM events) GROUP BY 1, 2) SELECT user_id, event_type, round(CASE WHEN n >= 2 THEN least(0.1 * n, 0.5) ELSE 0 END, 6)::DOUBLE AS bonus FROM h")
+def heuristic_bonus(spark, d):
+    """A prior from repeated positive outcomes of the same kind."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_type", (F.col("value") - F.lag("value").over(w)).alias("gain"))
+    n = e.groupBy("user_id", "event_type").agg(F.count(F.when(F.col("gain") > 0, 1)).alias("n"))
+    return n.select("user_id", "event_type", R(F.when(F.col("n") >= 2, F.least(0.1 * F.col("n"), F.lit(0.5))).otherwise(0.0)).alias("bonus"))
+
+
+@query("SELECT e.key AS stage, count(*) AS n_runs FROM (SELECT DISTINCT run_id, stages FROM pipeline_runs WHERE json_valid(stages) AND json_type(stages) = 'OBJECT') r, json_each(r.stages) e GROUP BY 1")
+def stages_of_runs(spark, d):
+    """How many states of runs name a stage."""
+    r = table(spark, d, "pipeline_runs").select("run_id", "stages").distinct()
+    return r.select(F.explode(F.json_object_keys("stages")).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n_runs"))
