@@ -510,7 +510,7 @@ def minimum_count_rule(spark, d):
     return telemetry.too_few(g, "n", "seconds", 0.01)
 
 
-@query("SELECT benchmark_id, CASE WHEN metric_value IS NULL OR isnan(metric_value) THEN 'unknown' WHEN metric_value < 0 THEN 'reject' WHEN metric_value < 0.5 THEN 'warn' ELSE 'pass' END AS outcome FROM benchmarks")
+@query("SELECT benchmark_id, CASE WHEN metric_value IS NULL OR CAST(metric_value AS VARCHAR) LIKE '%nan' THEN 'unknown' WHEN metric_value < 0 THEN 'reject' WHEN metric_value < 0.5 THEN 'warn' ELSE 'pass' END AS outcome FROM benchmarks")
 def threshold_rule(spark, d):
     v = F.col("metric_value")
     return table(spark, d, "benchmarks").select("benchmark_id", F.when(v.isNull() | F.isnan(v), "unknown").when(v < 0, "reject").when(v < 0.5, "warn").otherwise("pass").alias("outcome"))
