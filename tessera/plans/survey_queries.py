@@ -627,19 +627,16 @@ def classify_fqdns(spark, d):
     return j.select("fqdn", F.when(F.col("here"), "exact").when(F.col("n") == 1, "candidate").otherwise("unresolved").alias("kind"))
 
 
-_FAMILIES = [("sciona.atoms.", "atoms"), ("sciona.", "core"), ("ext.", "external")]
+_FAMILIES = [("Brand#12", "twelve"), ("Brand#1", "ones"), ("Brand#", "brands")]
 
 
-@query("SELECT DISTINCT fqdn, CASE WHEN starts_with(fqdn, 'sciona.atoms.') THEN 'atoms' WHEN starts_with(fqdn, 'sciona.') THEN 'core' WHEN starts_with(fqdn, 'ext.') THEN 'external' ELSE 'other' END AS family FROM atoms WHERE fqdn IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#12') THEN 'twelve' WHEN starts_with(p_brand, 'Brand#1') THEN 'ones' WHEN starts_with(p_brand, 'Brand#') THEN 'brands' ELSE 'other' END AS family FROM part")
 def source_family(spark, d):
     """The family of the longest prefix that fits."""
     f = None
     for p, n in sorted(_FAMILIES, key=lambda x: -len(x[0])):
-        f = F.when(F.col("fqdn").startswith(p), n) if f is None else f.when(F.col("fqdn").startswith(p), n)
-    return table(spark, d, "atoms").where("fqdn IS NOT NULL").select("fqdn", f.otherwise("other").alias("family")).distinct()
-
-
-# --- more of the catalog
+        f = F.when(F.col("p_brand").startswith(p), n) if f is None else f.when(F.col("p_brand").startswith(p), n)
+    return table(spark, d, "part").select("p_partkey", f.otherwise("other").alias("family"))
 
 
 @query(f"WITH a AS (SELECT {_ID('atom_id')} AS atom_id, bool_or(is_publishable AND visibility_tier = 'general') AS ok FROM atoms GROUP BY 1) SELECT DISTINCT io_spec_id, {_ID('atom_id')} AS atom_id, port_name FROM io_specs WHERE {_ID('atom_id')} IN (SELECT atom_id FROM a WHERE ok AND atom_id <> '')")
@@ -710,12 +707,12 @@ def type_bonus(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", R(matching.type_bonus(F.array(*map(F.lit, _ASK)), _tokens(F.col("text")))).alias("bonus"))
 
 
-@query(f"WITH p AS (SELECT DISTINCT fqdn, {_WORDS.format('fqdn')} AS w FROM atoms WHERE fqdn IS NOT NULL), o AS (SELECT fqdn, len(list_intersect(w, ['sciona', 'atoms', 'window'])) / CAST(greatest(len(w), 1) AS DOUBLE) AS s FROM p) SELECT count(*) FILTER (s >= 0.2) AS n_strong, round(max(s), 6) AS max_overlap, round(least(0.25, count(*) FILTER (s >= 0.2) * 0.05) + least(0.2, max(s) * 0.5), 6) AS score FROM o")
+@query(f"WITH p AS (SELECT DISTINCT fqdn, {_WORDS.format('fqdn')} AS w FROM atoms WHERE fqdn IS NOT NULL), o AS (SELECT fqdn, len(list_intersect(w, ['atoms', 'window', 'threshold'])) / CAST(greatest(len(w), 1) AS DOUBLE) AS s FROM p) SELECT count(*) FILTER (s >= 0.2) AS n_strong, round(max(s), 6) AS max_overlap, round(least(0.25, count(*) FILTER (s >= 0.2) * 0.05) + least(0.2, max(s) * 0.5), 6) AS score FROM o")
 def catalog_confidence(spark, d):
     """Whether a search of the catalog is likely to pay off for a text."""
     w = _tokens(F.col("fqdn"))
     p = table(spark, d, "atoms").where("fqdn IS NOT NULL").select("fqdn").distinct()
-    o = p.select((F.size(F.array_intersect(w, F.array(*map(F.lit, ("sciona", "atoms", "window"))))) / F.greatest(F.size(w), F.lit(1))).alias("s")).agg(F.count(F.when(F.col("s") >= 0.2, 1)).alias("n_strong"), F.max("s").alias("m"))
+    o = p.select((F.size(F.array_intersect(w, F.array(*map(F.lit, ("atoms", "window", "threshold"))))) / F.greatest(F.size(w), F.lit(1))).alias("s")).agg(F.count(F.when(F.col("s") >= 0.2, 1)).alias("n_strong"), F.max("s").alias("m"))
     return o.select("n_strong", R("m").alias("max_overlap"), R(F.least(F.lit(0.25), F.col("n_strong") * 0.05) + F.least(F.lit(0.2), F.col("m") * 0.5)).alias("score"))
 
 
