@@ -35,7 +35,29 @@ def direct_residual(df: DataFrame, left: str, right: str, least_rows: int = 10)
     l, r = F.expr(left).cast("double"), F.expr(right).cast("double")
     d = df.select(l.alias("l"), r.alias("r")).where("l IS NOT NULL AND r IS NOT NULL AND NOT isnan(l) AND NOT isnan(r)")
     e = F.abs(F.col("l") - F.col("r")) / F.nullif(F.greatest(F.abs("l"), F.abs("r")), F.lit(0.0))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.percentile(F.coalesce(e, F.lit(0.0)), 0.5).alias("_m")).select("n", F.when(F.col("n") >= least_rows, F.col("_m")).alias("residual"))
+    return exact_median(d.select(F.coalesce(e, F.lit(0.0)).alias("v")), "v").select("n", F.when(F.col("n") >= least_rows, F.col("median")).alias("residual"))
+
+
+def exact_median(df: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median of a double column without nulls, NaN being greatest: 1 row, n, median.
+
+    Three scans: a sketch gives two bounds close around the middle, then exact counts tell on which side of them the
+    middle ranks lie, then the distinct values there, some 4 n / accuracy, are put in order by one task. The sketch
+    decides only how many are ordered, not the result.
+    """
+    d, v = df.select(F.col(value).alias("v")), F.col("v")
+    shares = F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy))
+    bounds = d.agg(F.percentile_approx(F.when(~F.isnan(v), v), shares, F.lit(accuracy)).alias("b")).select(F.coalesce(F.col("b")[0], F.lit(0.0)).alias("lo"), F.coalesce(F.col("b")[1], F.lit(0.0)).alias("hi"))
+    below, upto = F.count_if(v < F.col("lo")), F.count_if(v <= F.col("hi"))
+    at = d.crossJoin(F.broadcast(bounds)).agg(F.count(F.lit(1)).alias("n"), below.alias("below"), upto.alias("upto"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))  # one row
+    at = at.select("*", F.expr("(n - 1) div 2").alias("r0"), F.expr("n div 2").alias("r1"))
+    near = d.crossJoin(F.broadcast(at)).where("CASE WHEN v < lo THEN r0 < below WHEN v <= hi THEN r0 < upto AND r1 >= below ELSE r1 >= upto END")
+    counts = near.groupBy("v").agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("n", "r0", "r1", "below", "upto")])
+    # rows up to each value, with those left out before the first
+    before = F.expr("CASE WHEN r0 < below THEN 0 WHEN r0 < upto THEN below ELSE upto END")
+    to = counts.withColumn("to", before + F.sum("c").over(Window.orderBy("v")))
+    middle = to.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min(F.expr("CASE WHEN to > r0 THEN v END")).alias("a"), F.min(F.expr("CASE WHEN to > r1 THEN v END")).alias("b"))
+    return middle.select("n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0.5 * F.col("a") + 0.5 * F.col("b")).alias("median"))
 
 
 def ranges(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -216,6 +216,24 @@ def test_fitting(spark):
     assert fit.a == pytest.approx(2) and fit.b == pytest.approx(3) and fit.residual < 1e-9
 
 
+def test_exact_median(spark):
+    r = np.random.default_rng(5)
+    cases = [[], [2.5], [1.0, 3.0], [0.0] * 500 + [1.0] * 500, [0.0] * 999 + [7.0], [math.nan] * 7 + [1.0], [math.inf] * 3 + [1.0, 2.0], [*(10.0 ** r.uniform(-300, 0, 4001))], [*r.uniform(0, 1e-12, 2500), *r.uniform(1, 1 + 1e-9, 2500)]]
+    for x in cases:
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        for accuracy in (10_000, 20):  # bounds close around the middle, and far
+            n, median = fitting.exact_median(df, "x", accuracy).first()
+            assert n == len(x) and (median == pytest.approx(float(np.median(x)), rel=1e-12, abs=0, nan_ok=True) if x else median is None)
+
+
+def test_direct_residual_holds_no_map_of_all_values(spark):
+    df = spark.range(3000).select((F.col("id") + 1.0).alias("a"), (F.rand(1) + F.col("id")).alias("b"))
+    d = fitting.direct_residual(df, "a", "b")
+    assert "percentile(" not in d._jdf.queryExecution().optimizedPlan().toString()  # it keeps each distinct value in one task
+    p = df.toPandas()
+    assert rows(d) == [(3000, pytest.approx(((p.a - p.b).abs() / p.max(axis=1)).median()))]
+
+
 # --- diagnostics
 
 
