@@ -87,20 +87,37 @@ def top_matches(nodes: DataFrame, prims: DataFrame, k: int) -> DataFrame:
     """(node_id, name, score) of the k best primitives of each node that share a word with it.
 
     `nodes` has node_id, words, ports (arrays), category, n_in, n_out; `prims` has name, words, ports, category, required,
-    total, outs. The score adds the inverse document frequencies of shared words (over the primitives), the bonuses of
-    ports, category and arity, and 20 for an equal name. Words meet in a join; a word that most primitives have weighs
-    next to nothing, but none is left out. Ties go to the lesser name.
+    total, outs; node_id and name are unique. The score adds the inverse document frequencies of shared words (over the
+    primitives), the bonuses of ports, category and arity, and 20 for an equal name. Ties go to the lesser name.
+
+    A word that most primitives have weighs next to nothing, but none is left out. Sets of words meet, not nodes and
+    primitives: of primitives alike in the words that nodes have and in all else, only the k least names count; of
+    primitives alike in all but words, only the k best for a node's set of words (and the k first by name, for nodes whose
+    score is null) can be among its k best. The primitive of a node's own name is held against it apart.
     """
-    # one row per word of each side, with what the score needs
+    c = F.col
+    other = ["pb", "cb", "required", "total", "outs"]
     n = prims.select("name").distinct().agg(F.count(F.lit(1)).alias("n"))
     words = prims.select("name", F.explode(F.array_distinct("words")).alias("w"))
-    idf = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", F.log(F.col("n") / F.col("df")).alias("idf"))  # n is one row
-    shared = nodes.select("node_id", F.explode(F.array_distinct("words")).alias("w")).join(idf, "w").join(words, "w").groupBy("node_id", "name").agg(F.sum("idf").alias("tfidf"))
-    a = nodes.select("node_id", F.col("ports").alias("pa"), F.col("category").alias("ca"), "n_in", "n_out")
-    b = prims.select("name", F.col("ports").alias("pb"), F.col("category").alias("cb"), "required", "total", "outs")
-    c = F.col
+    idf = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", F.log(c("n") / c("df")).alias("idf"))  # n is one row
+    a = nodes.select("node_id", F.array_sort(F.array_distinct("words")).alias("ws"), c("ports").alias("pa"), c("category").alias("ca"), "n_in", "n_out")
+    b = prims.select("name", c("ports").alias("pb"), c("category").alias("cb"), "required", "total", "outs")
+    # sets of words, without those that the other side lacks
+    sets = a.select("ws").distinct().withColumn("w", F.explode("ws"))
+    held = sets.join(idf, "w").groupBy("ws").agg(F.array_sort(F.collect_list(F.struct("w", "idf"))).alias("kn"))
+    there = words.join(sets.select("w").distinct(), "w", "left_semi").groupBy("name").agg(F.array_sort(F.collect_list("w")).alias("kp"))
+    named = there.join(b, "name")
+    meet = held.select("kn").distinct().select("kn", F.explode("kn.w").alias("w")).join(there.select("kp").distinct().select("kp", F.explode("kp").alias("w")), "w").select("kn", "kp").distinct()
+    shared = F.filter("kn", lambda x: F.array_contains(c("kp"), x["w"]))
+    tfidf = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x["idf"])  # in the order of the words, so that equal sets weigh the same
+    least = named.withColumn("_r", F.row_number().over(Window.partitionBy("kp", *other).orderBy("name"))).where(c("_r") <= k).drop("_r")
+    first = lambda *order: F.row_number().over(Window.partitionBy("kn", *other).orderBy(*order)) <= k
+    best = meet.withColumn("tfidf", tfidf).join(least, "kp").select("*", first(c("tfidf").desc(), "name").alias("_s"), first("name").alias("_n")).where("_s OR _n")  # by name for nodes without a score
+    sides = ["node_id", "name", "tfidf", "pa", "ca", "n_in", "n_out", *other]
+    found = a.join(held.join(best, "kn").drop("kn", "kp", "_s", "_n"), "ws").where(c("node_id") != c("name")).select(*sides)
+    own = a.join(named, c("node_id") == c("name")).join(held, "ws").where(F.size(shared) > 0).withColumn("tfidf", tfidf).select(*sides)
     score = c("tfidf") + port_bonus(c("pa"), c("pb")) + category_bonus(c("ca"), c("cb")) + arity_bonus(c("n_in"), c("n_out"), c("required"), c("total"), c("outs")) + F.when(c("node_id") == c("name"), 20.0).otherwise(0.0)
-    scored = shared.join(a, "node_id").join(b, "name").select("node_id", "name", score.alias("score"))
+    scored = found.unionByName(own).select("node_id", "name", score.alias("score"))
     w = Window.partitionBy("node_id").orderBy(F.col("score").desc(), "name")
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

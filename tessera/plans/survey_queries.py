@@ -11,7 +11,7 @@ from tessera.functions import units
 from tessera.functions.text import norm_id, norm_name
 from tessera.operators import matching, telemetry
 from tessera.plans.reference_queries import _DIAG, _E, _ID, _NAME, R, _diag_base, _edges
-from tessera.session import shared_dir
+from tessera.session import Written, shared_dir
 from tessera.sources import files
 from tessera.sources.tables import table
 
@@ -364,10 +364,13 @@ def _tokens(c) -> F.Column:
 def matching_primitives(spark, d):
     """The three best primitives of each node, by words, ports, category and arity."""
     c = table(spark, d, "cdg_nodes")
-    size = lambda x: F.greatest(F.size(F.coalesce(x, F.array())), F.lit(0)).cast("bigint")
-    n = c.where("name IS NOT NULL").groupBy("node_id").agg(F.any_value("name").alias("name"), F.any_value("concept_type").alias("category"), F.any_value("inputs").alias("inputs"), F.any_value("outputs").alias("outputs"), F.countDistinct("name").alias("a"), F.countDistinct("inputs").alias("b"), F.countDistinct("outputs").alias("e")).where("a = 1 AND b = 1 AND e = 1")
-    nodes = n.select("node_id", _tokens(F.col("name")).alias("words"), F.coalesce(F.transform("inputs", lambda p: p["name"]), F.array().cast("array<string>")).alias("ports"), "category", F.size("inputs").cast("bigint").alias("n_in"), F.size("outputs").cast("bigint").alias("n_out"))
-    prims = c.where("matched_primitive IS NOT NULL").select(F.col("matched_primitive").alias("name")).distinct().select("name", _tokens(F.col("name")).alias("words"), F.array(F.lit("x"), F.lit("signal")).alias("ports"), F.lit("clustering").alias("category"), F.lit(1).alias("required"), F.lit(2).alias("total"), F.lit(1).alias("outs"))
+    # one value but nulls: least and greatest are equal, which needs no row for each column to count
+    ends = [f(x).alias(f"{x}_{t}") for x in ("name", "inputs", "outputs") for t, f in (("lo", F.min), ("hi", F.max))]
+    n = c.where("name IS NOT NULL").groupBy("node_id").agg(F.any_value("concept_type", True).alias("category"), *ends).where("name_lo = name_hi AND inputs_lo = inputs_hi AND outputs_lo = outputs_hi")
+    nodes = n.select("node_id", _tokens(F.col("name_lo")).alias("words"), F.transform("inputs_lo", lambda p: p["name"]).alias("ports"), "category", F.size("inputs_lo").cast("bigint").alias("n_in"), F.size("outputs_lo").cast("bigint").alias("n_out"))
+    prims = c.where("matched_primitive IS NOT NULL").select(F.col("matched_primitive").alias("name")).distinct().select("name", _tokens(F.col("name")).alias("words"))
+    nodes, prims = Written(nodes).df, Written(prims).df  # both are read several times
+    prims = prims.select("*", F.array(F.lit("x"), F.lit("signal")).alias("ports"), F.lit("clustering").alias("category"), F.lit(1).alias("required"), F.lit(2).alias("total"), F.lit(1).alias("outs"))
     return matching.top_matches(nodes, prims, 3).select("node_id", "name", R("score").alias("score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import units
 from tessera.functions.diagnostics import BY_KEY, DIAGNOSTICS, diagnose
-from tessera.operators import catalog, fitting, graphs, relational, retrieval, series, signals
+from tessera.operators import catalog, fitting, graphs, matching, relational, retrieval, series, signals
 from tessera.operators.components import components
 from tessera.sources import files
 from tessera.streaming import logs
@@ -234,6 +234,40 @@ def test_direct_residual_holds_no_map_of_all_values(spark):
     assert rows(d) == [(3000, pytest.approx(((p.a - p.b).abs() / p.max(axis=1)).median()))]
 
 
+def most_rows(df):
+    """The most rows that a step of the plan gave when df was collected."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().length())]
+    return most
+
+
+def test_top_matches_of_a_word_that_all_share(spark):
+    n = 1500
+    nodes = spark.range(n).select(F.format_string("n%04d", "id").alias("node_id"), F.expr("array('hot', 'x' || id % 7)").alias("words"), F.expr("array('x')").alias("ports"), F.lit("c").alias("category"), (F.col("id") % 3).alias("n_in"), F.lit(1).alias("n_out"))
+    nodes = nodes.unionByName(nodes.limit(1).select(F.lit("p0900").alias("node_id"), "words", "ports", "category", F.lit(1).alias("n_in"), "n_out"))  # a primitive's name
+    prims = spark.range(n).select(F.format_string("p%04d", "id").alias("name"), F.expr("array('hot', 'own' || id, CASE WHEN id < 20 THEN 'x' || id % 3 END)").alias("words"), F.expr("array('x')").alias("ports"), F.lit("c").alias("category"), F.lit(1).alias("required"), F.lit(2).alias("total"), F.lit(1).alias("outs"))
+    df = matching.top_matches(nodes, prims, 2)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r.node_id, -r.score, r.name)):
+        got.setdefault(r.node_id, []).append((r.name, round(r.score, 6)))
+    flat, rare = 2.0 + 1.5 + 0.75, [math.log(n / c) for c in (7, 7, 6)]
+    for i in range(n):
+        t, x = flat + (1.5 if i % 3 else -0.25), i % 7
+        best = [(f"p{j:04d}", round(t + rare[x], 6)) for j in (x, x + 3)] if x < 3 else [("p0000", round(t, 6)), ("p0001", round(t, 6))]
+        assert got[f"n{i:04d}"] == best
+    assert got["p0900"][0] == ("p0900", round(flat + 1.5 + 20, 6)) and len(got) == n + 1
+    assert most_rows(df) < 10 * n  # all pairs are n * n
+
+
 # --- diagnostics
 
 
